@@ -36,6 +36,10 @@ SEED = 42
 SHINGLE = 3
 BITS = 2
 CHUNK = 1 << 15
+#: Distinct fingerprints whose 64 variants one task makes; more would be spilled.
+CLASSES_PER_TASK = 16_384
+#: Ids (8 bytes each) sent to every executor at most; beyond it a join is shuffled.
+MAX_SENT_IDS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -67,13 +71,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(classes: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, whose closure has the components of all links between distinct ``fp``."""
-    variants = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr(
+    n = classes.count()
+    variants = classes.repartition(max(1, n // CLASSES_PER_TASK), "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).selectExpr(
         "fp",
         "shiftleft(cast(v as bigint), 32) | (shiftrightunsigned(fp, 32 * (v div 32)) & 4294967295L & ~shiftleft(1L, cast(v % 32 as int))) as variant",
     )
     met = materialize(variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1"), "variants")
     pairs = met.where(f"n = 2 and bit_count(a ^ b) <= {BITS}").select("a", "b")
-    crowded = variants.join(met.where("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    full = met.where("n > 2").select("variant")
+    full = F.broadcast(full) if full.count() <= MAX_SENT_IDS else full
+    crowded = variants.join(full, "variant", "left_semi").select("fp").distinct()
     points = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("v")).selectExpr("fp", "case when v < 0 then fp else fp ^ shiftleft(1L, cast(v as int)) end as point")
     least = points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("b")).where("n > 1").select("point", "b")
     near = points.join(least, "point").where("fp > b").select(F.col("fp").alias("a"), "b")
@@ -125,10 +132,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Ids sent to every executor at most; beyond it the kept rows come from a shuffled join.
-MAX_SENT_IDS = 1_000_000
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the least doc_id, all columns unchanged.
 
