@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op6_decontamination
 from .quality_rules import op8_quality_rules
 from .sentencepiece_bpe import op5_sentencepiece
 from .simhash import op9_simhash
@@ -14,7 +15,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece, op8_quality_rules, op9_simhash)}
+    return {f.__name__: f for f in (op5_sentencepiece, op6_decontamination, op8_quality_rules, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
