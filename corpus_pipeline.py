@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaweave.llm import quality_rules, sentencepiece_bpe, simhash
+from deltaweave.llm import decontamination, quality_classifier, quality_rules, sentencepiece_bpe, simhash
 from deltaweave.session import materialize
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the language model of trusted text finds too unlikely."""
+    return quality_classifier.Classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).keep(docs)
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a quality rule rejects."""
     return quality_rules.keep_clean(docs)
@@ -18,14 +23,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item, exactly or with few edits."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents that are left."""
     return sentencepiece_bpe.digests(docs)
 
 
 STAGES = [
+    ("quality_classifier", classifier),
     ("quality_rules", rules),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("sentencepiece", tokens),
 ]
 
