@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op6_decontamination
+from .html_extraction import op7_html_extraction
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op8_quality_rules
 from .sentencepiece_bpe import op5_sentencepiece
@@ -16,7 +17,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_sentencepiece, op6_decontamination, op8_quality_rules, op9_simhash)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_sentencepiece, op6_decontamination, op7_html_extraction, op8_quality_rules, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
