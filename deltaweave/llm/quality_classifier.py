@@ -45,7 +45,9 @@ MIN_HELD = 8
 SHARD_ROWS = 1_000_000
 MAX_SHARDS = 16
 MAX_SENT_IDS = 1_000_000
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 400_000
+#: Distinct n-grams that a counting task holds before it adds them up, and before it hands them on.
+HELD_KEYS = 1_000_000
 CLASSES = 1 << BITS
 
 VERDICT = "doc_id long, lang string, perplexity double, threshold double, kept boolean"
@@ -112,13 +114,13 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                     keys, n = np.unique(ngrams(part)[0], return_counts=True)
                     held.setdefault(name, []).append((keys, n.astype(np.int64)))
                     size += len(keys)
-            if size > 4_000_000:
-                for name in held:
-                    held[name] = [_added(held[name])]
-                size = sum(len(k) for p in held.values() for k, _ in p)
-                if size > 2_000_000:  # more distinct n-grams than a task should hold
-                    yield from flush()
-                    size = 0
+                    if size > HELD_KEYS:
+                        for other in held:
+                            held[other] = [_added(held[other])]
+                        size = sum(len(k) for p in held.values() for k, _ in p)
+                        if size > HELD_KEYS // 2:
+                            yield from flush()
+                            size = 0
         yield from flush()
 
     counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, key long, n long")
