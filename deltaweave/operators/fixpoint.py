@@ -91,6 +91,9 @@ def select_fixpoint(state: DataFrame, edges: DataFrame, kernel: SelectKernel, ke
     without that column are all frontier. A round's offers and the old state meet in one aggregate
     over (key, round, parent): an equal offer of a later round loses, so a parent changes only on a
     strict improvement and parents have no cycles. The end is tested at each cut.
+
+    Rounds are numbered from the last cut (0: the frontier there, -1: before), so every stretch
+    between cuts is the same plan and its generated code is compiled once.
     """
     if "round" not in state.columns:
         state = state.withColumn("round", F.lit(0))
@@ -99,14 +102,14 @@ def select_fixpoint(state: DataFrame, edges: DataFrame, kernel: SelectKernel, ke
     best, own = F.min(F.struct(kernel.key(F.col("value")).alias("_key"), "round", "parent", "value")).alias("_best"), F.col("own")
     try:
         while done < most:
-            for _ in range(cut_every):
-                met = state.join(links, (F.col("id") == F.col("src")) & (own | (F.col("round") == done)))
-                done += 1
+            for k in range(cut_every):
+                met = state.join(links, (F.col("id") == F.col("src")) & (own | (F.col("round") == k)))
                 value = F.when(own, F.col("value")).otherwise(kernel.extend(F.col("value"), F.col("weight")))
-                rows = met.select(*keys, F.col("dst").alias("id"), value.alias("value"), F.when(own, F.col("round")).otherwise(done).alias("round"), F.when(own, F.col("parent")).otherwise(F.col("src")).alias("parent"))
+                rows = met.select(*keys, F.col("dst").alias("id"), value.alias("value"), F.when(own, F.col("round")).otherwise(k + 1).alias("round"), F.when(own, F.col("parent")).otherwise(F.col("src")).alias("parent"))
                 state = rows.groupBy(*keys, "id").agg(best).select(*keys, "id", "_best.value", "_best.round", "_best.parent")
-            state = cut(state)
-            if state.where(F.col("round") == done).isEmpty():
+            done += cut_every
+            state = cut(state.withColumn("round", F.when(F.col("round") == cut_every, 0).otherwise(-1)))
+            if state.where("round = 0").isEmpty():
                 break
         return state.select(*keys, "id", "value", "parent")
     finally:
