@@ -2,8 +2,8 @@
 
 Each page's containers are scored by the blocks of text below them (length, commas, share of links,
 hints in tags and classes) and named by their generalised path: tags with classes and ids, numbers
-replaced. Pages vote for the paths of their best containers, and the votes are added up by host. Then
-every page is read again and its text is taken from the container on its host's winning path; a page
+replaced. Pages vote for the paths of their best containers (the whole body is no choice that says
+anything, so it gets no votes), and the votes are added up by host. Then every page is read again and its text is taken from the container on its host's winning path; a page
 without that path uses its own best container.
 
 A page is read by one scan for tags; elements that HTML lets stay open are closed as browsers do.
@@ -29,6 +29,7 @@ from deltaweave.session import materialize
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
+WHOLE = frozenset(("", "html", "body"))
 DROPPED = frozenset("aside button canvas dialog fieldset footer form head iframe input label menu nav noscript object select svg template textarea title video audio".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
@@ -198,7 +199,7 @@ def extract(page: str | None, path: str | None) -> str:
         while node is not None and node is not best:
             header = header or node.tag == "header"
             node = node.parent
-        if node is best and (not header or owner.heading):
+        if node is best and (not header or (owner.heading and best.tag not in WHOLE)):
             out.append(text)
     return "\n".join(out)
 
@@ -215,7 +216,7 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             total: dict[tuple[str, str], int] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                best = score(*read(page))[:BEST_PATHS]
+                best = [n for n in score(*read(page)) if n.tag not in WHOLE][:BEST_PATHS]
                 whole = sum(n.score * n.weight for n in best)
                 for n in best:
                     key = host, n.path

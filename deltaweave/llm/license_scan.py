@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.literals import table
+
 THRESHOLD = 0.75
 DIGITS = 6
 
@@ -56,7 +58,7 @@ def _words(text: Column) -> Column:
 
 def template_weights(spark: SparkSession, templates: tuple = TEMPLATES) -> tuple[DataFrame, DataFrame, float]:
     """(word, idf); (word, template, license, unit weight); idf of a word in no template."""
-    t = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
+    t = table(spark, [(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
     tf = t.select("template", "license", F.explode(_words(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
     n = len(templates)
     idf = tf.groupBy("word").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deltaweave.llm.literals import table
 from deltaweave.session import discard, materialize
 
 KEY = ["conv_id", "call_id"]
@@ -39,7 +40,7 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL.*|DO
 
 def schemas(spark: SparkSession, rows: tuple = SCHEMAS) -> DataFrame:
     """(name, params) with an array of (param, kind, required) for each tool; kind is a pattern of variant types."""
-    s = spark.createDataFrame([(a, b, f"^({TYPES[c]})$", d) for a, b, c, d in rows], "name string, param string, kind string, required boolean")
+    s = table(spark, [(a, b, f"^({TYPES[c]})$", d) for a, b, c, d in rows], "name string, param string, kind string, required boolean")
     return s.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "kind", "required"))).alias("params"))
 
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from deltaweave.llm.literals import table
+
 MAX_SENT_INTERVALS = 500_000
 SALTS = 16
 
@@ -43,7 +45,7 @@ ENTRIES = (
 
 def entries(spark: SparkSession, rows: tuple = ENTRIES) -> DataFrame:
     """(list, kind, pattern, action, at) from literal rows."""
-    return spark.createDataFrame(list(rows), "list string, kind string, pattern string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    return table(spark, rows, "list string, kind string, pattern string, action string, at timestamp")
 
 
 def intervals(listed: DataFrame) -> DataFrame:
