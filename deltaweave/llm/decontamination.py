@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import kept, map_texts
+
 MIN_WORDS = 5
 EDIT_SHARE = 5  # one edit for so many words
 WALKS = 6
@@ -183,15 +185,9 @@ class Index:
             yield doc, item, distance, start, length
 
 
-_indexes: dict[str, Index] = {}
-
-
 def _index(block: _Block) -> Index:
     """The block's index, built once in each Python worker."""
-    if block.name not in _indexes:
-        _indexes.clear()
-        _indexes[block.name] = Index(block.data.value)
-    return _indexes[block.name]
+    return kept(block.name, lambda: Index(block.data.value))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
@@ -232,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array([index.items[k][0] for k in cols[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "item_id", "distance", "start_word", "n_words"]
                 )
 
-        part = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, MATCHES)
+        part = map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, MATCHES)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], MATCHES)
 
@@ -253,5 +249,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {d for d, *_ in index.search(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_texts(docs, run, schema)
     return docs

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import map_texts
 from deltaweave.session import materialize
 
 # Names of HTML elements and words that hint at a part's role.
@@ -223,7 +224,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     total[key] = total.get(key, 0) + round(1000 * n.score * n.weight / whole)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["host", "path", "votes"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return map_texts(pages.select("host", "html"), run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
 def winners(pages: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return ready.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_texts(ready, run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

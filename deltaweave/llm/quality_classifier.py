@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import kept, map_texts
 from deltaweave.session import materialize
 
 ORDER = 5
@@ -123,7 +124,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                             size = 0
         yield from flush()
 
-    counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, key long, n long")
+    counted = map_texts(docs.select(F.col("lang").cast("string"), F.col("text").cast("string")), run, "lang string, key long, n long")
     return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -218,9 +219,7 @@ class Scorer:
 
 
 class Shards:
-    """The model, broadcast shard by shard; ``load`` runs in workers and keeps the last model loaded."""
-
-    loaded: dict[str, Scorer] = {}
+    """The model, broadcast shard by shard; ``load`` runs in workers."""
 
     def __init__(self, spark: SparkSession, table: DataFrame, n: int) -> None:
         self.name, self.parts = uuid.uuid4().hex, []
@@ -233,10 +232,7 @@ class Shards:
             self.parts.append(spark.sparkContext.broadcast(shard))
 
     def load(self) -> Scorer:
-        if self.name not in Shards.loaded:
-            Shards.loaded.clear()
-            Shards.loaded[self.name] = Scorer([p.value for p in self.parts])
-        return Shards.loaded[self.name]
+        return kept(self.name, lambda: Scorer([p.value for p in self.parts]))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -275,7 +271,7 @@ class Classifier:
                 found, n = _perplexities(scorer, batch, 1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, from_pandas=True), pa.array(n)], ["doc_id", "lang", "perplexity", "n"])
 
-        return docs.mapInArrow(run, "doc_id long, lang string, perplexity double, n long")
+        return map_texts(docs, run, "doc_id long, lang string, perplexity double, n long")
 
     def _scored_by_join(self, docs: DataFrame) -> DataFrame:
         """The same by shuffled joins of each document's n-gram counts with the model, one order after the other."""
@@ -288,7 +284,7 @@ class Classifier:
                         yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(keys), pa.string()), pa.array([batch.column(2)[row].as_py() or ""] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["uid", "lang", "key", "n"])
 
         docs = materialize(docs.withColumn("uid", F.expr("uuid()")), "texts")  # written, so that the names of rows stay
-        rows = docs.select("uid", "doc_id", "lang", "text").mapInArrow(run, "uid string, lang string, key long, n long").withColumn("total", F.lit(0.0)).withColumn("open", F.lit(True))
+        rows = map_texts(docs.select("uid", "doc_id", "lang", "text"), run, "uid string, lang string, key long, n long").withColumn("total", F.lit(0.0)).withColumn("open", F.lit(True))
         for k in range(ORDER, 0, -1):
             p = self.table.where(F.col("part") == k).select("lang", F.col("key").alias("g"), F.col("value").cast("float").cast("double").alias("p"))
             w = self.table.where(F.col("part") == 10 + k).select("lang", F.col("key").alias("h"), F.col("value").cast("float").cast("double").alias("w"))
@@ -324,7 +320,7 @@ class Classifier:
                 m, limit = np.array([limits.get(x if x is not None else "", (0.0, np.inf)) for x in batch.column(lang).to_pylist()]).reshape(-1, 2).T
                 yield batch.filter(pa.array(~(found > np.exp(m + limit / np.sqrt(n / (n + PRIOR))))))
 
-        return docs.mapInArrow(run, schema)
+        return map_texts(docs, run, schema)
 
 
 def _perplexities(scorer: Scorer, batch: pa.RecordBatch, lang: int, text: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import map_texts
+
 # Fixed values.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -169,7 +171,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", or
             failed = [cascade(Text(x.as_py()), rules) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed, pa.string())], ["doc_id", "failed_rule"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, failed_rule string")
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, failed_rule string")
 
 
 def counts_and_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -189,7 +191,7 @@ def counts_and_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, COUNTS)
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, COUNTS)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,4 +208,4 @@ def keep_clean(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([cascade(Text(x.as_py()), rules) is None for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)

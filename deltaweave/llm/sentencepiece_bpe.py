@@ -31,6 +31,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import kept, map_texts
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MAX_CHUNKS = 200_000
@@ -221,15 +223,10 @@ class PrefixTableEncoder:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-_encoders: dict[str, PrefixTableEncoder] = {}
-
-
 def encoder(model_file: str | None = None) -> PrefixTableEncoder:
     """One encoder for each model and Python worker."""
     path = model_file or default_model()
-    if path not in _encoders:
-        _encoders[path] = PrefixTableEncoder(path)
-    return _encoders[path]
+    return kept(f"sentencepiece {path}", lambda: PrefixTableEncoder(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None) -> DataFrame:
@@ -243,7 +240,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 [batch.column(0), pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([enc.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<long>, decoded string")
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, ids array<long>, decoded string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str | None = None) -> DataFrame:
@@ -260,7 +257,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 of_text.append(hashlib.sha256(enc.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.llm.worker import map_texts
 from deltaweave.session import discard, materialize
 
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, fp long")
 
 
 def links(classes: DataFrame) -> DataFrame:
