@@ -73,7 +73,7 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """``src dst dst ...`` lines."""
-    return _lines(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("src"), F.explode(F.expr("slice(f, 2, size(f))")).cast("long").alias("dst")).withColumn("weight", F.lit(1).cast("long"))
+    return _lines(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("src"), F.explode(F.expr("transform(slice(f, 2, size(f)), x -> cast(x as bigint))")).alias("dst")).withColumn("weight", F.lit(1).cast("long"))
 
 
 def read_temporal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -100,5 +100,5 @@ def write_clusters(clusters: DataFrame, path: str) -> None:
 
 def write_result(state: DataFrame, path: str, value: str = "value", unreachable: str | None = None) -> None:
     """``id value`` lines; doubles in scientific notation with 15 digits."""
-    shown = F.format_string("%.15e", value) if dict(state.dtypes)[value] in ("double", "float") else F.col(value).cast("string")
+    shown = F.when(F.col(value).isNotNull(), F.format_string("%.15e", value)) if dict(state.dtypes)[value] in ("double", "float") else F.col(value).cast("string")
     state.select(F.concat_ws(" ", F.col("id").cast("string"), F.coalesce(shown, F.lit(unreachable or "null"))).alias("value")).write.mode("overwrite").text(path)

@@ -125,7 +125,7 @@ def _random(seed, n=40, m=140):
     rng = random.Random(seed)
     edges = {(rng.randrange(n), rng.randrange(n)): rng.randrange(0, 9) for _ in range(m)}
     edges = [(a, b, w) for (a, b), w in sorted(edges.items())]
-    rows = [("d", a, b) for a, b, _ in rng.sample(edges, 25)] + [("a", a, b, w + 5) for a, b, w in rng.sample(edges, 10)] + [("a", rng.randrange(n), rng.randrange(n), rng.randrange(9)) for _ in range(15)]
+    rows = [("d", a, b) for a, b, _ in rng.sample(edges, len(edges) // 5)] + [("a", a, b, w + 5) for a, b, w in rng.sample(edges, len(edges) // 12)] + [("a", rng.randrange(n), rng.randrange(n), rng.randrange(9)) for _ in range(15)]
     return n, edges, list({(r[1], r[2]): r for r in rows}.values())
 
 
