@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='deltaweave-')}"
+        folder = tempfile.mkdtemp(prefix="deltaweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
     if own is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
