@@ -12,7 +12,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="deltaweave-tests-"), "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="deltaweave-warehouse-"),
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
