@@ -82,14 +82,13 @@ class Index:
         for k, x in enumerate(self.ids):
             self.sizes.setdefault(len(x), []).append(k)
         self.margin = max((n // EDIT_SHARE for n in self.sizes), default=0) + 1
-        end = len(self.vocabulary) + 1  # the symbol after a window's end
+        end = len(self.vocabulary) + 1
         self.tables, self.own = {}, {}
         for n, members in sorted(self.sizes.items()):
             rng = np.random.default_rng([seed, n])
             length = 2 * n
-            # bits of all walks for (step, symbol); the end symbol never moves on
-            moves = rng.integers(0, 2, (walks, length, end + 1), dtype=np.int8)
-            moves[:, :, end] = 0
+            # a step's bit of a word is the top bit of a random linear function of the word's number
+            moves = rng.integers(0, 1 << 63, (walks, 2, length), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             chosen = [[np.sort(rng.choice(length, min(steps, length), replace=False)) for _ in range(sets)] for _ in range(walks)]
             flat = np.concatenate([self.ids[k] for k in members])
             starts = np.arange(len(members)) * n
@@ -110,15 +109,16 @@ class Index:
         for k, steps in enumerate(chosen):
             for s in steps:
                 wanted.setdefault(int(s), []).append(k)
-        end, last = moves.shape[1] - 1, max(wanted)
         at = np.zeros(len(starts), np.int64)
-        top = len(flat) - 1
-        for step in range(last + 1):
-            seen = np.where(at < n, flat[np.minimum(starts + at, top)], end)
+        top, after = len(flat) - 1, np.uint64(1 << 40)  # what a walk sees behind the window's end, where it stays
+        for step in range(max(wanted) + 1):
+            seen = flat[np.minimum(starts + at, top)].astype(np.uint64)
+            inside = at < n
+            seen[~inside] = after
             for k in wanted.get(step, ()):
-                out[k] = (out[k] ^ seen.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                out[k] = (out[k] ^ seen) * np.uint64(0xD6E8FEB86659FD93)
                 out[k] ^= out[k] >> np.uint64(32)
-            at += moves[step][seen]
+            at += ((seen * moves[0, step] + moves[1, step]) >> np.uint64(63)).astype(np.int64) & inside
         return out
 
     def search(self, docs: list[str | None]) -> list[tuple[int, int, int, int, int]]:
