@@ -8,8 +8,9 @@ few differing steps. Each of several walks is sampled by several small sets of s
 agree with an item on all steps of a set become candidates, and each candidate is verified by exact
 edit distance between the item and the best stretch around the window.
 
-With 6 walks and 12 sets of 4 steps an item at the full edit distance is found with a probability
-of about 0.97 or more, and a copy with fewer edits practically always (see the tests).
+What the walks miss, which grows with the item's size, is found exactly: an item cut into
+floor(n / 5) + 1 pieces keeps at least one piece whole under floor(n / 5) edits, so every place of a
+piece of an item is a candidate too. All items within the distance are found, at every size.
 
 Before walking, windows are left out that can't match: at least n - floor(n / 5) words of a window
 must be words of items of n words. Equal windows are walked once.
@@ -71,6 +72,20 @@ def edit_span(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(forward[end]), end - int(np.flatnonzero(backward == forward[end])[-1]), end
 
 
+class _Sums:
+    """Rolling hashes of windows of words; equal windows have equal hashes."""
+
+    def __init__(self, flat: np.ndarray) -> None:
+        powers = np.cumprod(np.full(len(flat) + 1, 0x2545F4914F6CDD1D, np.uint64))
+        self.inverse = np.cumprod(np.full(len(flat) + 1, pow(0x2545F4914F6CDD1D, -1, 1 << 64), np.uint64))
+        mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[:-1])])
+
+    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[starts + size] - self.sums[starts]) * self.inverse[starts]
+
+
 class Index:
     """LSH tables of one block of items, for one Python worker."""
 
@@ -83,7 +98,8 @@ class Index:
             self.sizes.setdefault(len(x), []).append(k)
         self.margin = max((n // EDIT_SHARE for n in self.sizes), default=0) + 1
         end = len(self.vocabulary) + 1
-        self.tables, self.own = {}, {}
+        self.seen = np.zeros(end, bool)  # words of the stretch at hand
+        self.tables, self.own, self.seeds = {}, {}, {}
         for n, members in sorted(self.sizes.items()):
             rng = np.random.default_rng([seed, n])
             length = 2 * n
@@ -101,6 +117,20 @@ class Index:
             self.tables[n] = (moves, chosen, tables)
             self.own[n] = np.zeros(end, bool)
             self.own[n][flat] = True
+            self.seeds[n] = self._pieces(flat, n, np.array(members))
+
+    def _pieces(self, flat: np.ndarray, n: int, members: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of piece: sorted hashes of the pieces, their items and their offsets."""
+        cuts = np.arange(n // EDIT_SHARE + 2) * n // (n // EDIT_SHARE + 1)
+        sizes, sums = np.diff(cuts), _Sums(flat)
+        out = {}
+        for size in sorted(set(sizes.tolist())):
+            offsets = cuts[:-1][sizes == size]
+            at = (np.arange(len(members))[:, None] * n + offsets).ravel()
+            keys = sums.windows(at, size)
+            order = np.argsort(keys, kind="stable")
+            out[size] = keys[order], np.repeat(members, len(offsets))[order], np.tile(offsets, len(members))[order]
+        return out
 
     def _signatures(self, flat: np.ndarray, starts: np.ndarray, n: int, moves: np.ndarray, chosen: list[np.ndarray]) -> list[np.ndarray]:
         """For each set of steps, a hash of the words seen in its steps by the walks from ``starts``."""
@@ -139,11 +169,7 @@ class Index:
         gap = np.zeros(self.margin, np.int32)  # no match reaches over so many foreign words
         flat = np.concatenate([x for p in parts for x in (p, gap)])
         lows = np.concatenate([[0], np.cumsum([len(p) + self.margin for p in parts])])
-        powers = np.cumprod(np.full(len(flat) + 1, 0x2545F4914F6CDD1D, np.uint64))
-        inverse = np.cumprod(np.full(len(flat) + 1, pow(0x2545F4914F6CDD1D, -1, 1 << 64), np.uint64))
-        mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers[:-1])])
+        sums = _Sums(flat)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, (moves, chosen, tables) in self.tables.items():
             k = n // EDIT_SHARE
@@ -152,7 +178,7 @@ class Index:
             starts = np.flatnonzero(known[span:] - known[: len(known) - span] >= n - k)
             if not len(starts):
                 continue
-            _, one, back = np.unique((sums[starts + span] - sums[starts]) * inverse[starts], return_index=True, return_inverse=True)
+            _, one, back = np.unique(sums.windows(starts, span), return_index=True, return_inverse=True)
             hits: set[tuple[int, int]] = set()
             for walk in range(len(chosen)):
                 signs = self._signatures(flat, starts[one], n, moves[walk], chosen[walk])
@@ -160,8 +186,6 @@ class Index:
                     low, high = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
                     for w in np.flatnonzero(high > low):
                         hits.update((int(w), int(m)) for m in members[low[w] : high[w]])
-            if not hits:
-                continue
             places: dict[int, np.ndarray] = {}
             order = np.argsort(back, kind="stable")
             cuts = np.searchsorted(back[order], np.arange(len(one) + 1))
@@ -170,20 +194,62 @@ class Index:
                     places[w] = starts[order[cuts[w] : cuts[w + 1]]]
                 for p in places[w]:
                     doc = int(np.searchsorted(lows, p, "right")) - 1
-                    found = best.get((doc, item))
-                    if found and found[0] == 0:
-                        continue
                     low, high = max(int(lows[doc]), int(p) - k), min(int(lows[doc + 1]) - self.margin, int(p) + n + k)
-                    part = flat[low:high]
-                    if np.isin(self.ids[item], part).sum() < n - k:
-                        continue
-                    distance, a, b = edit_span(self.ids[item], part)
-                    new = (distance, low + a - int(lows[doc]), b - a)
-                    if distance <= k and (found is None or new < found):
-                        best[doc, item] = new
+                    self._verify(flat, lows, best, doc, item, low, high)
+            for doc, item, low, high in self._around_pieces(flat, lows, sums, known, starts, n):
+                self._verify(flat, lows, best, doc, item, low, high)
         for (doc, item), (distance, start, length) in sorted(best.items()):
             yield doc, item, distance, start, length
 
+    def _verify(self, flat: np.ndarray, lows: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]], doc: int, item: int, low: int, high: int) -> None:
+        """Puts the nearest stretch of the item within ``low`` and ``high`` into ``best`` if it is near enough and better."""
+        found, n = best.get((doc, item)), len(self.ids[item])
+        if found and found[0] == 0:
+            return
+        part, k = flat[low:high], n // EDIT_SHARE
+        self.seen[part] = True
+        enough = np.count_nonzero(self.seen[self.ids[item]]) >= n - k
+        self.seen[part] = False
+        if not enough:
+            return
+        distance, a, b = edit_span(self.ids[item], part)
+        new = (distance, low + a - int(lows[doc]), b - a)
+        if distance <= k and (found is None or new < found):
+            best[doc, item] = new
+
+    def _around_pieces(self, flat: np.ndarray, lows: np.ndarray, sums: _Sums, known: np.ndarray, starts: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, low, high) around each piece of an item of ``n`` words in the windows from ``starts``; what overlaps is one."""
+        k = n // EDIT_SHARE
+        lengths = np.minimum(np.diff(starts, append=len(flat)), n)
+        inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        inside = inside[flat[inside] > 0]
+        for size, (keys, members, offsets) in self.seeds[n].items():
+            at = inside[inside + size <= len(flat)]
+            at = at[known[at + size] - known[at] == size]
+            wanted = sums.windows(at, size)
+            first = np.searchsorted(keys, wanted, "left")
+            count = np.searchsorted(keys, wanted, "right") - first
+            at, first, count = at[count > 0], first[count > 0], count[count > 0]
+            ends = np.cumsum(count)
+            done = 0
+            while done < len(at):  # so many places at a time
+                base = int(ends[done - 1]) if done else 0
+                last = max(int(np.searchsorted(ends, base + CHUNK_WORDS, "right")), done + 1)
+                c = count[done:last]
+                rows = np.repeat(first[done:last] - (ends[done:last] - c - base), c) + np.arange(int(c.sum()))
+                here = np.repeat(at[done:last], c)
+                done = last
+                doc, begin, item = np.searchsorted(lows, here, "right") - 1, here - offsets[rows], members[rows]
+                low, high = np.maximum(lows[doc], begin - k), np.minimum(lows[doc + 1] - self.margin, begin + n + k)
+                near = known[high] - known[low] >= n - k
+                doc, item, low, high = doc[near], item[near], low[near], high[near]
+                if not len(doc):
+                    continue
+                order = np.lexsort((high, low, item, doc))
+                doc, item, low, high = doc[order], item[order], low[order], high[order]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])]))
+                yield from zip(doc[new].tolist(), item[new].tolist(), low[new].tolist(), high[np.append(new[1:], len(high)) - 1].tolist())
+
 
 def _index(block: _Block) -> Index:
     """The block's index, built once in each Python worker."""

@@ -269,6 +269,23 @@ def test_recall_at_the_full_distance():
     assert sum(w in found for w in want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("size", [20, 100, 200, 400])
+def test_all_long_copies_at_the_full_distance(size):
+    rng = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(400)], k=size)) for k in range(10)]
+    index, texts = decontamination.Index(items), []
+    for n in range(20):
+        words = list(items[n % 10][1])
+        for _ in range(size // 5):
+            at, kind = rng.randrange(len(words)), rng.random()
+            words[at : at + (kind < 0.8)] = ["foreign"] * (not 0.6 <= kind < 0.8)
+        texts.append(" ".join(rng.choices(vocabulary, k=40) + words + rng.choices(vocabulary, k=40)))
+    found = {(d, i): distance for d, i, distance, *_ in index.search(texts)}
+    for n, text in enumerate(texts):
+        assert found[n, n % 10] == plain_distance(items[n % 10][1], text.split())
+
+
 def test_decontamination_edges(spark):
     docs = documents(spark, [*ODD, (20, "Alpha, beta gamma DELTA epsilon zeta", "en"), (21, "alpha beta gamma delta x epsilon", "en"), (22, "alpha beta", "en")])
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, None), (3, ""), (4, "alpha beta"), (None, "x x x x x")], "item_id long, text string")
