@@ -3,8 +3,8 @@
 Trusted documents are those labelled ``quality = 1``. All of them are counted, but for one in
 ``HOLD_OUT`` by a hash of the id, whose perplexities give the language's quantiles: the median m of
 the logarithm x, and the quantile ``QUANTILE`` of the excess (x - m) sqrt(n / (n + PRIOR)) over n
-characters, since means over few characters vary more. A document whose excess is over ``MARGIN``
-times that quantile is rejected; ``threshold`` states this as a perplexity.
+characters, since means over few characters vary more. A document whose excess is over that
+quantile is rejected; ``threshold`` states this as a perplexity.
 
 The model is over characters, n-grams up to ``ORDER``; a character is a 12-bit class (itself up to
 U+0DFF, 512 classes for the rest), so an n-gram is an exact 60-bit integer and shorter n-grams are
@@ -39,8 +39,7 @@ ORDER = 5
 BITS = 12
 START, END = 2, 3
 HOLD_OUT = 8
-QUANTILE = 0.95
-MARGIN = 5.0
+QUANTILE = 0.98
 PRIOR = 1000
 MIN_HELD = 8
 SHARD_ROWS = 1_000_000
@@ -254,7 +253,7 @@ class Classifier:
         held = materialize(self.scored(trusted.where("held")).where("perplexity is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.log("perplexity").alias("x"), "n"), "held")
         middle = held.groupBy("lang").agg(F.count("*").alias("rows"), F.percentile_approx("x", 0.5, 10_000).alias("m")).where(F.col("rows") >= MIN_HELD)
         excess = held.join(middle, "lang").withColumn("e", (F.col("x") - F.col("m")) * F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
-        limits = excess.groupBy("lang", "m").agg((MARGIN * F.percentile_approx("e", QUANTILE, 10_000)).alias("limit"))
+        limits = excess.groupBy("lang", "m").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("limit"))
         self.limits = {r["lang"]: (r["m"], max(r["limit"], 0.0)) for r in limits.collect()}  # a row for each language
 
     def scored(self, docs: DataFrame) -> DataFrame:

@@ -124,6 +124,20 @@ def test_classifier_against_brute_force(spark):
     assert quality_classifier.Classifier(docs, labels.limit(0)).verdicts(docs).where("not kept").isEmpty()
 
 
+def test_classifier_limit_is_a_quantile_of_held_out_texts(spark):
+    rows = [(k, "en", " ".join(f"word{(k * 7919 + j * j * (1 + k % 13)) % 97}" for j in range(5 + k % 40))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    fitted = quality_classifier.Classifier(docs, labels)
+    held = {r["doc_id"] for r in quality_classifier.trusted_ids(labels).where("held").collect()}
+    scored = [(math.log(r["perplexity"]), r["n"]) for r in fitted.scored(docs).collect() if r["doc_id"] in held]
+    m, limit = fitted.limits["en"]
+    excess = sorted((x - m) * math.sqrt(n / (n + quality_classifier.PRIOR)) for x, n in scored)
+    over = sum(e > limit + 1e-9 for e in excess)
+    assert len(excess) > 50 and 1 <= over <= math.ceil((1 - quality_classifier.QUANTILE) * len(excess))
+    assert sum(not r["kept"] for r in fitted.verdicts(docs).collect() if r["doc_id"] in held) == over
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     found = quality_classifier.op2_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("lang = 'en'")
