@@ -50,7 +50,9 @@ SCAN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
-NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
+ATTRIBUTES = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+#: A class with such a word states something about the page, as "no-sidebar" does, and isn't a part's name.
+STATES = re.compile(r"(?:^|[_-])(?:no|not|has|have|with|without|is|open|opened|closed|enabled|disabled|overflow)(?=$|[_-])", re.I)
 NUMBERS = re.compile(r"\d+")
 
 BEST_PATHS = 3
@@ -60,22 +62,29 @@ MAX_SENT_HOSTS = 200_000
 class Node:
     """An open or closed element; ``out`` says that its text isn't part of an article."""
 
-    __slots__ = ("tag", "parent", "path", "weight", "out", "heading", "score", "links", "chars", "at")
+    __slots__ = ("tag", "parent", "path", "weight", "out", "heading", "score", "links", "chars", "at", "named", "lost", "holds")
 
-    def __init__(self, tag: str, rest: str, parent: Node | None, at: int) -> None:
+    def __init__(self, tag: str, rest: str, parent: Node | None, at: int, spared: bool = False) -> None:
         self.tag, self.parent, self.at = tag, parent, at
         names, hidden = "", False
         if rest and not rest.isspace():
-            for name, *values in NAMES.findall(rest):
+            for name, *values in ATTRIBUTES.findall(rest):
                 value, name = "".join(values), name.lower()
                 if name in ("class", "id"):
                     names += " " + value
                 hidden = hidden or name == "hidden" or (name == "aria-hidden" and value == "true")
-        against, pro = bool(AGAINST.search(names)), bool(FOR.search(names))
+        pro = bool(FOR.search(names))
+        against = bool(AGAINST.search(names)) and not spared and tag not in ("html", "body", "main") and any(AGAINST.search(x) and not STATES.search(x) for x in names.split())
         general = ".".join(sorted(set(NUMBERS.sub("#", names).lower().split())))
         self.path = (parent.path + "/" if parent else "") + tag + ("." + general if general else "")
         self.weight = (1.3 if pro or tag in ("article", "main") else 1.0) * (0.7 if tag in ("body", "td") else 1.0)
-        self.out = (parent.out if parent else False) or hidden or tag in DROPPED or (against and not (pro and tag in ("article", "main")))
+        against = against and not (pro and tag == "article")
+        self.out = (parent.out if parent else False) or hidden or tag in DROPPED or against
+        # the element dropped by its name alone that this one lies in, and what is lost with it
+        self.named = parent.named if parent and parent.out else self if against and not hidden and tag not in DROPPED else None
+        self.lost, self.holds = 0, False
+        if self.named not in (None, self) and not against and tag in ("article", "main", "h1"):
+            self.named.holds = True
         self.heading = tag in HEADINGS or (parent.heading if parent else False)
         self.score = 0.0
         self.links = self.chars = 0
@@ -88,8 +97,21 @@ class Node:
 
 
 def read(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Blocks (innermost element, text) in page order, and all elements; text that is no article's is left out."""
-    page = page or ""
+    """Blocks (innermost element, text) in page order, and all elements; text that is no article's is left out.
+
+    An element with an article or title and more text than is left without it isn't dropped for its name.
+    """
+    spared: set[int] = set()
+    while True:
+        blocks, nodes = _read(page or "", spared)
+        left = sum(len(text) for _, text in blocks)
+        wrappers = {n.at for n in nodes if n.holds and n.lost > left}
+        if not wrappers:
+            return blocks, nodes
+        spared |= wrappers
+
+
+def _read(page: str, spared: set[int]) -> tuple[list[tuple[Node, str]], list[Node]]:
     root = Node("", "", None, -1)
     nodes, blocks, stack = [root], [], [root]
     pieces: list[str] = []
@@ -113,6 +135,8 @@ def read(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
     def add(text: str) -> None:
         nonlocal owner, linked
         top = stack[-1]
+        if top.out and top.named is not None and top.tag not in DROPPED:
+            top.named.lost += len(text.strip())
         if not text or top.out:
             return
         if not pieces:
@@ -160,7 +184,7 @@ def read(page: str | None) -> tuple[list[tuple[Node, str]], list[Node]]:
                     break
         if tag in VOID:
             continue
-        node = Node(tag, m["rest"] or m["rest2"] or "", stack[-1], len(nodes))
+        node = Node(tag, m["rest"] or m["rest2"] or "", stack[-1], len(nodes), len(nodes) in spared)
         nodes.append(node)
         if not (m["rest"] or "").endswith("/") or tag in BLOCKS:
             stack.append(node)

@@ -231,6 +231,21 @@ def test_consensus_overrides_a_page(spark):
     assert {r["page_id"]: r["text"] for r in html_extraction.extract_pages(df).collect()}[0] == "short, but the article it is"
 
 
+LONG = "Here is the article, with commas, and length. " * 4
+
+
+@pytest.mark.parametrize("wrapper", ["body class='no-sidebar'", "div class='content with-sidebar'", "div class='comments-open'", "div style='overflow:hidden'", "div data-hidden='false'", "div title='a class=ad b'", "main class='has-sidebar'", "div class='social-page'"])
+def test_wrappers_are_not_dropped_by_loose_names(wrapper):
+    page = f"<html><{wrapper}><article><h1>Title</h1><p>{LONG}</p></article><div class='sidebar'><p>{LONG * 3}</p></div></{wrapper.split()[0]}></html>"
+    assert html_extraction.extract(page, None) == "Title\n" + LONG.strip()
+
+
+def test_hidden_and_named_parts_stay_dropped():
+    for part in ("div hidden", "div hidden=''", "div aria-hidden='true'", "div class='left-sidebar'", "div class='comments'", "div id=cookie-notice"):
+        page = f"<body><div class='content'><p>{LONG}</p></div><{part}><p>{LONG * 3}</p></div></body>"
+        assert html_extraction.extract(page, None) == LONG.strip()
+
+
 # --- fixity ---------------------------------------------------------------------------------------------
 
 
