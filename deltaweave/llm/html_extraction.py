@@ -4,7 +4,8 @@ Each page's containers are scored by the blocks of text below them (length, comm
 hints in tags and classes) and named by their generalised path: tags with classes and ids, numbers
 replaced. Pages vote for the paths of their best containers (the whole body is no choice that says
 anything, so it gets no votes), and the votes are added up by host. Then every page is read again and its text is taken from the container on its host's winning path; a page
-without that path uses its own best container.
+without that path uses its own best container. A container inside an article or main part stands for all
+of it, and a section or one named as content for its like beside it, with the title and text between them.
 
 A page is read by one scan for tags; elements that HTML lets stay open are closed as browsers do.
 
@@ -211,20 +212,41 @@ def score(blocks: list[tuple[Node, str]], nodes: list[Node]) -> list[Node]:
     return sorted(found, key=lambda n: (-n.score * n.weight * (1 - min(n.links / max(n.chars, 1), 1.0) * 0.9), n.at))
 
 
+def article(best: Node, nodes: list[Node]) -> tuple[list[Node], Node | None]:
+    """The elements that hold the article around a container, and the parent whose loose text is the article's too.
+
+    That is the outermost article or else the main part it lies in; without these, what follows the same path
+    under the same parent, if that is a section or named as content.
+    """
+    above, node = [], best
+    while node is not None:
+        above.append(node)
+        node = node.parent
+    for tag in ("article", "main"):
+        found = [n for n in above if n.tag == tag]
+        if found:
+            return found[-1:], None
+    if best.tag not in ("td", *WHOLE) and (best.tag == "section" or best.weight > 1):
+        return [n for n in nodes if n.parent is best.parent and n.path == best.path], best.parent if best.parent.tag not in WHOLE else None
+    return [best], None
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the best container on ``path``, else of the best of all; blocks joined by a line end."""
+    """Text of the article around the best container on ``path``, else of the best of all; blocks joined by a line end."""
     blocks, nodes = read(page)
     ranked = score(blocks, nodes)
     if not ranked:  # headings alone
         ranked = [nodes[0]]
     best = next((n for n in ranked if n.path == path), ranked[0])
+    parts, loose = article(best, nodes)
     out = []
     for owner, text in blocks:
         node, header = owner, False
-        while node is not None and node is not best:
+        while node is not None and node not in parts:
             header = header or node.tag == "header"
             node = node.parent
-        if node is best and (not header or (owner.heading and best.tag not in WHOLE)):
+        beside = loose is not None and (owner is loose or (owner.parent is loose and owner.tag not in CONTAINERS))
+        if beside or (node is not None and (not header or (owner.heading and node.tag not in WHOLE))):
             out.append(text)
     return "\n".join(out)
 

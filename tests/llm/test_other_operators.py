@@ -246,6 +246,22 @@ def test_hidden_and_named_parts_stay_dropped():
         assert html_extraction.extract(page, None) == LONG.strip()
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<article><h1>T</h1><p>A lead.</p><div class=content><p>{a}</p></div></article>", "T|A lead.|{a}"), ("<article><section><p>{a}</p></section><section><h2>S</h2><p>short</p></section></article>", "{a}|S|short"),
+        ("<main><h1>T</h1><section><p>{a}</p></section><section><p>short</p></section></main>", "T|{a}|short"), ("<div id=w><h1>T</h1><p>A lead.</p><div class=content><p>{a}</p></div><div class=content><p>short</p></div></div>", "T|A lead.|{a}|short"),
+        ("<section><p>{a}</p></section><section><p>short</p></section>", "{a}|short"), ("<main><article><p>{a}</p></article><article><p>other</p></article></main>", "{a}"), ("<div><p>menu</p></div><div><p>{a}</p></div>", "{a}"),
+    ],
+)
+def test_the_whole_article(spark, inner, want):
+    page = "<html><body><header><h1>Site</h1></header>" + inner.format(a=LONG) + "<footer>f</footer></body></html>"
+    want = want.format(a=LONG.strip()).replace("|", "\n")
+    assert html_extraction.extract(page, None) == want
+    df = spark.createDataFrame([(k, "http://h.org/", page) for k in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extraction.extract_pages(df).collect()} == {want}
+
+
 # --- fixity ---------------------------------------------------------------------------------------------
 
 
