@@ -259,7 +259,7 @@ class Classifier:
     def scored(self, docs: DataFrame) -> DataFrame:
         """doc_id, lang, perplexity (null: no model of that language), n (characters and the end)."""
         docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-        return self._scored_in_place(docs) if self.shards else self._scored_by_join(docs)
+        return self._scored_in_place(docs) if self.shards else self._scored_by_join(materialize(docs.withColumn("uid", F.expr("uuid()")), "texts")).drop("uid")
 
     def _scored_in_place(self, docs: DataFrame) -> DataFrame:
         shards = self.shards
@@ -273,7 +273,7 @@ class Classifier:
         return map_texts(docs, run, "doc_id long, lang string, perplexity double, n long")
 
     def _scored_by_join(self, docs: DataFrame) -> DataFrame:
-        """The same by shuffled joins of each document's n-gram counts with the model, one order after the other."""
+        """The same by shuffled joins of each document's n-gram counts with the model, one order after the other; ``uid`` names the rows and is written, so that it stays."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,7 +282,6 @@ class Classifier:
                         keys, n = np.unique(ngrams(part)[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(keys), pa.string()), pa.array([batch.column(2)[row].as_py() or ""] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["uid", "lang", "key", "n"])
 
-        docs = materialize(docs.withColumn("uid", F.expr("uuid()")), "texts")  # written, so that the names of rows stay
         rows = map_texts(docs.select("uid", "doc_id", "lang", "text"), run, "uid string, lang string, key long, n long").withColumn("total", F.lit(0.0)).withColumn("open", F.lit(True))
         for k in range(ORDER, 0, -1):
             p = self.table.where(F.col("part") == k).select("lang", F.col("key").alias("g"), F.col("value").cast("float").cast("double").alias("p"))
@@ -295,20 +294,26 @@ class Classifier:
         sums = rows.groupBy("uid").agg(F.exp(-F.sum(each * F.col("n")) / F.sum("n")).alias("perplexity"), F.sum("n").alias("n"))
         known = self.table.select("lang").distinct().withColumn("known", F.lit(True))
         out = docs.drop("text").join(sums, "uid").join(known.withColumnRenamed("lang", "_l"), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
-        return out.select("doc_id", "lang", F.when(F.col("known"), F.col("perplexity")).alias("perplexity"), "n")
+        return out.select("uid", "doc_id", "lang", F.when(F.col("known"), F.col("perplexity")).alias("perplexity"), "n")
 
     def verdicts(self, docs: DataFrame) -> DataFrame:
         """See VERDICT; threshold is null where the language has none."""
+        return self._judged(self.scored(docs)).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+    def _judged(self, scored: DataFrame) -> DataFrame:
         limits = self.spark.createDataFrame([(k, *v) for k, v in self.limits.items()], "_l string, _m double, _limit double")
-        scored = self.scored(docs).join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
+        scored = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
         threshold = F.exp(F.col("_m") + F.col("_limit") / F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
-        return scored.select("doc_id", "lang", "perplexity", threshold.alias("threshold")).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+        return scored.withColumn("threshold", threshold).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """Rows of ``docs`` that aren't rejected, all columns unchanged."""
         if not self.shards:
-            gone = self.verdicts(docs).where("not kept").select("doc_id").distinct()
-            return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+            name = f"uid_{uuid.uuid4().hex}"  # a row's own key: ids may be null or repeated
+            rows = materialize(docs.withColumn(name, F.expr("uuid()")), "texts")
+            texts = rows.select(F.col(name).alias("uid"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+            gone = self._judged(self._scored_by_join(texts)).where("not kept").select(F.col("uid").alias(name))
+            return rows.join(gone, name, "left_anti").select(docs.columns)
         shards, limits, schema = self.shards, self.limits, docs.schema
         lang, text = docs.columns.index("lang"), docs.columns.index("text")
 

@@ -124,6 +124,16 @@ def test_classifier_against_brute_force(spark):
     assert quality_classifier.Classifier(docs, labels.limit(0)).verdicts(docs).where("not kept").isEmpty()
 
 
+def test_keep_by_join_drops_rows_not_ids(spark):
+    good = [(k, "en", f"the cat {k % 7} sat on the mat {'again ' * (k % 4)}{k}") for k in range(120)]
+    docs = spark.createDataFrame([*good, (None, "en", "zzqx ### ***"), (None, "en", good[0][2]), (5, "en", "zzqx ### ***")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(120) if k != 5], "doc_id long, quality int, toxic int")
+    first, second = (quality_classifier.Classifier(docs, labels, max_shards=n).keep(docs) for n in (16, 0))
+    want = sorted(map(str, first.collect()))
+    assert second.columns == docs.columns and sorted(map(str, second.collect())) == want
+    assert not first.where("text = 'zzqx ### ***'").count() and first.where("doc_id is null").count() == 1 and first.where("doc_id = 5").count() == 1
+
+
 def test_classifier_limit_is_a_quantile_of_held_out_texts(spark):
     rows = [(k, "en", " ".join(f"word{(k * 7919 + j * j * (1 + k % 13)) % 97}" for j in range(5 + k % 40))) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
