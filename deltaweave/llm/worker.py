@@ -1,25 +1,39 @@
-"""What the Arrow operators share: small batches, and one large object at a time in a Python worker."""
+"""What the Arrow operators share: small slices of batches, and one large object at a time in a Python worker."""
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Texts in an Arrow batch, where the session has Spark's default: a few MB of usual texts.
-ROWS = "1000"
+#: Bytes of a slice that an operator handles at a time; a single longer text is a slice of its own.
+SLICE_BYTES = 4 << 20
 
 _slot: dict[str, object] = {}
 
 
-def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with batches that suit whole texts; a batch size set by the user stays."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH) == "10000":
-        conf.set(BATCH, ROWS)
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, cut into slices of at most ``most`` bytes, or of one row."""
+    for batch in batches:
+        todo = [(0, batch.num_rows)]
+        while todo:
+            at, n = todo.pop()
+            part = batch.slice(at, n)
+            if n > 1 and part.nbytes > most:
+                todo += [(at + n // 2, n - n // 2), (at, n // 2)]
+            else:
+                yield part
+
+
+def map_texts(df: DataFrame, run: Callable, schema, most: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices that suit whole texts.
+
+    Spark bounds the batches themselves by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); no
+    setting of the session is changed.
+    """
+    return df.mapInArrow(lambda batches: run(slices(batches, most)), schema)
 
 
 def kept(name: str, build: Callable[[], object]) -> object:

@@ -65,6 +65,54 @@ def test_op8(spark, sf_dir):
         assert failed or r["kept"] == all(not rule.rejects(quality_rules.Text(texts[r["doc_id"]])) for rule in quality_rules.RULES)
 
 
+def plain_kept(text):
+    """The rules once more, written out by their definitions."""
+    import re
+
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    n, chars, symbols, dup, covered = plain_counts(text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    stripped = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    cased = [c for c in text if c != c.lower() or c != c.upper()]
+    return (
+        n >= 50 and 100 * covered <= 50 * n and symbols <= 0.1 * n and 2 <= chars / n <= 15 and dup <= 0.5 * len(lines) and sum(x.endswith(("...", "…")) for x in stripped) <= 0.3 * len(lines)
+        and sum(x.startswith(("-", "*", "•", "‣", "●")) for x in stripped) <= 0.9 * len(lines) and sum(any(c.isalpha() for c in w) for w in words) >= 0.6 * n and sum(c != c.lower() for c in text) <= 0.6 * max(len(cased), 1)
+    )
+
+
+CAPITALS = " ".join(f"WORD{k} IS{k * 7} LOUD{k * 3}" for k in range(30))
+
+
+@pytest.mark.parametrize("more", ["", " ß", " İ", " ŉ ǰ", " ﬁ"])
+def test_capitals_are_counted_one_by_one(more):
+    t = quality_rules.Text(CAPITALS + more)
+    assert quality_rules.cascade(t, list(quality_rules.RULES)) == "upper_case" and not plain_kept(CAPITALS + more)
+    assert quality_rules.cascade(quality_rules.Text(CAPITALS.lower() + more), list(quality_rules.RULES)) is None and plain_kept(CAPITALS.lower() + more)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeABCD ß#İ.…-*1\n\u00a0", min_size=1, max_size=12), min_size=40, max_size=80))
+def test_verdicts_against_plain_rules(parts):
+    text = " ".join(parts)
+    assert (quality_rules.cascade(quality_rules.Text(text), list(quality_rules.RULES)) is None) == plain_kept(text)
+
+
+def test_kept_against_plain_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = sf_documents(spark, sf)
+    rows = quality_rules.op8_quality_rules(spark, sf).collect()
+    assert len({r["kept"] for r in rows}) == 2 and all(r["kept"] == plain_kept(texts[r["doc_id"]]) for r in rows)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, ("word%d " % k) * (60_000 if k % 2 else 60)) for k in range(400)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality_rules, "order_rules", lambda texts, rules: seen.extend(texts) or [(r, 0.0, 0.0) for r in rules])
+    assert quality_rules.plan(docs, sample_rows=20) == [r.name for r in quality_rules.RULES]
+    assert 0 < len(seen) <= 20 and max(map(len, seen)) <= quality_rules.SAMPLE_CHARS
+
+
 def test_rules_keep_good_and_drop_bad(spark, sf_dir):
     found = quality_rules.op8_quality_rules(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("n_words >= 50")
     assert found.where("quality = 1 and not kept").isEmpty() and found.where("quality = 0 and kept").isEmpty()
@@ -171,6 +219,39 @@ def test_simhash_edges(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 4, 5, None, 7, 8, 9]))
 
 
+GROUP = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+
+
+def test_keep_one_judges_rows(spark):
+    a, b = GROUP * 4, "one two three four five six seven eight nine ten " * 4
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, a), (None, "zzz unique text here"), (9, "c d e"), (9, "c d e"), (None, "q r s"), (None, "q r s")]
+    left = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, a), (5, b), (None, "zzz unique text here"), (9, "c d e"), (None, "q r s")])
+
+
+def test_hot_fingerprints_are_sent(spark):
+    """A third of the rows are copies of one text: their join is no shuffle of them."""
+    rows = [(k, GROUP * 4 if k % 3 == 0 else f"text number {k} is " + " ".join(f"w{k * j % 997}" for j in range(30))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(df)
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == sorted(plain_components([(d, plain_fingerprint(t)) for d, t in rows]))
+    assert simhash.hot_size(100) == simhash.HOT_ROWS and simhash.hot_size(10**12) * simhash.MAX_SENT_IDS >= 10**12
+    left = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert left == {c for _, c in plain_components([(d, plain_fingerprint(t)) for d, t in rows])}
+
+
+def test_slices():
+    import pyarrow as pa
+
+    from deltaweave.llm import worker
+
+    texts = ["x" * n for n in (5, 0, worker.SLICE_BYTES * 2, 7)] + ["y" * 1000] * 20_000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    parts = list(worker.slices(iter([batch, batch.slice(0, 0)])))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= 1 or p.nbytes <= worker.SLICE_BYTES for p in parts)
+
+
 # --- SentencePiece ----------------------------------------------------------------------------------
 
 
@@ -294,5 +375,52 @@ def test_decontamination_edges(spark):
     assert {r["doc_id"] for r in found if r["item_id"] is None} == {7}
     assert decontamination.matches(docs, items.limit(0)).count() == 0 and decontamination.matches(docs.limit(0), items).count() == 0
     left = decontamination.drop_contaminated(docs, items)
-    assert left.columns == docs.columns and left.count() == docs.count() - 3
-    assert len(list(decontamination.blocks(items, size=1))) == 3
+    assert left.columns == docs.columns and left.count() == docs.count() - 4  # 7, 20 and 21, and 22 by the item of two words
+    assert decontamination.drop_contaminated(docs, items, min_words=5).count() == docs.count() - 3
+    assert len(list(decontamination.blocks(items, size=1))) == 4
+    # several blocks give the same, one after the other
+    assert sorted(decontamination.matches(docs, items, size=1).collect(), key=str) == found
+    assert sorted(map(str, decontamination.drop_contaminated(docs, items, size=1).collect())) == sorted(map(str, left.collect()))
+
+
+def plain_words(text):
+    """Words by the definition: runs of word characters, but each character of an unspaced script is one."""
+    out, open_ = [], False
+    for c in (text or "").lower():
+        single = decontamination.UNSPACED_CHARACTER.match(c) is not None
+        if not (c.isalnum() or c == "_"):
+            open_ = False
+        elif single or not open_:
+            out.append(c)
+            open_ = not single
+        else:
+            out[-1] += c
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB1_ .\n漢字かなไทยé語", max_size=30))
+def test_words_of_unspaced_scripts(text):
+    assert decontamination.words(text) == [w for w in plain_words(text)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc漢字"), min_size=1, max_size=8), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc漢字z"), max_size=25), min_size=1, max_size=4))
+def test_short_items_against_brute_force(items, texts):
+    items = [(k, w) for k, w in enumerate(items)]
+    found = {(d, k): distance for d, k, distance, *_ in decontamination.Index(items).search([" ".join(t) for t in texts])}
+    want = {}
+    for d, t in enumerate(texts):
+        for k, w in items:
+            distance = plain_distance(w, t)
+            if distance <= len(w) // 5:
+                want[d, k] = distance
+    assert found == want
+
+
+def test_short_and_unspaced_items(spark):
+    text = "这是一个用于测试的很长的中文句子没有任何空格也没有标点符号"
+    docs = spark.createDataFrame([(1, "前文" + text + "后文"), (2, "前文" + text.replace("测试", "考试") + "后文"), (3, "to be, or"), (4, "so TO BE it is"), (5, "tobe")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, text), (2, "To be"), (3, "be")], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"]) for r in decontamination.matches(docs, items).collect()}
+    assert rows == {(1, 1): (0, 2), (2, 1): (1, 2), (3, 2): (0, 0), (4, 2): (0, 1), (3, 3): (0, 1), (4, 3): (0, 2)}
