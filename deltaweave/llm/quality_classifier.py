@@ -1,25 +1,29 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of each language's trusted text.
 
-Trusted documents are those labelled ``quality = 1``. All of them are counted, but for one in
-``HOLD_OUT`` by a hash of the id, whose perplexities give the language's quantiles: the median m of
-the logarithm x, and the quantile ``QUANTILE`` of the excess (x - m) sqrt(n / (n + PRIOR)) over n
-characters, since means over few characters vary more. A document whose excess is over that
-quantile is rejected; ``threshold`` states this as a perplexity.
+Trusted documents are those labelled ``quality = 1``. All documents are dealt into ``FOLDS`` folds by a
+hash of the id, and each fold has a model of its own, counted on the trusted documents of the other
+folds. So every document is scored by a model that has not seen it, trusted ones too, and all trusted
+documents of a language give its quantiles: the median m of the logarithm x of the perplexity, and the
+quantile ``QUANTILE`` of the excess (x - m) sqrt(n / (n + PRIOR)) over n characters, since means over
+few characters vary more. A document whose excess is over that quantile is rejected; ``threshold`` states
+this as a perplexity. A language with too few trusted documents for such a quantile (fewer than
+1 / (1 - QUANTILE)) takes the greatest excess among them or the quantile over all languages' excesses,
+whichever is more.
 
 The model is over characters, n-grams up to ``ORDER``; a character is a 12-bit class (itself up to
 U+0DFF, 512 classes for the rest), so an n-gram is an exact 60-bit integer and shorter n-grams are
 cut from it by shifts. Only the longest n-grams are counted on text; continuation counts, discounts,
 contexts' weights and interpolated probabilities come from aggregates and joins of that table.
 
-The model is cut into shards by n-gram. Each shard has a bounded number of rows, is broadcast, and is
-joined with the n-gram counts of the documents that a task has at hand; documents aren't shuffled.
-Beyond ``MAX_SHARDS`` shards the n-gram counts of documents are shuffled and joined with the model
-instead, with equal results.
+The model is cut into shards by n-gram, each of so many rows, whose bytes are counted. Up to
+``MAX_MODEL_BYTES`` in all they are broadcast one by one and joined with the n-gram counts of the
+documents that a task has at hand; documents aren't shuffled. Beyond it the n-gram counts of documents
+are shuffled and joined with the model instead, row by row with equal results.
 
 Edge cases: null text is the empty text (its end is still scored); null language is a language of
-its own; languages with fewer than ``MIN_HELD`` held-out trusted documents have no threshold and all
-their documents are kept; repeated rows give repeated results; without labels everything is kept;
-other columns are ignored.
+its own; documents of a language without trusted documents in the other folds have no perplexity and
+are kept; repeated rows give repeated results; without labels everything is kept; other columns are
+ignored. Rows without an id are one fold.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.llm.worker import kept, map_texts
@@ -38,12 +42,13 @@ from deltaweave.session import materialize
 ORDER = 5
 BITS = 12
 START, END = 2, 3
-HOLD_OUT = 8
-QUANTILE = 0.98
+FOLDS = 2
+QUANTILE = 0.99
 PRIOR = 1000
-MIN_HELD = 8
+#: A row of the model as workers hold it: an n-gram and the logarithm of a probability or weight.
+ROW_BYTES = 8 + 4
 SHARD_ROWS = 1_000_000
-MAX_SHARDS = 16
+MAX_MODEL_BYTES = 192 << 20
 MAX_SENT_IDS = 1_000_000
 CHUNK_CHARS = 400_000
 #: Distinct n-grams that a counting task holds before it adds them up, and before it hands them on.
@@ -235,29 +240,36 @@ class Shards:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id and ``held`` of the trusted documents."""
-    return labels.where("quality = 1").select(F.col("doc_id").cast("long")).distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0)
+    """doc_id of the trusted documents."""
+    return labels.where("quality = 1").select(F.col("doc_id").cast("long")).distinct()
+
+
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(FOLDS))
+
+
+def model_name(fold: Column, lang: Column) -> Column:
+    """Name of the model that scores documents of a fold and language."""
+    return F.concat_ws(":", fold.cast("string"), F.coalesce(lang.cast("string"), F.lit("")))
 
 
 class Classifier:
-    """A fitted model with its languages' thresholds."""
+    """Fitted models with their languages' thresholds."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, max_shards: int = MAX_SHARDS, shard_rows: int = SHARD_ROWS) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, max_bytes: int = MAX_MODEL_BYTES, shard_rows: int = SHARD_ROWS) -> None:
         self.spark = docs.sparkSession
         ids = trusted_ids(labels)
         ids = F.broadcast(ids) if ids.count() <= MAX_SENT_IDS else ids
         trusted = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).join(ids, "doc_id")
-        self.table = model(materialize(count_ngrams(trusted.where("not held")), "ngrams"))
-        n = -(-self.table.count() // shard_rows)
-        self.shards = Shards(self.spark, self.table, max(n, 1)) if n <= max_shards else None
-        held = materialize(self.scored(trusted.where("held")).where("perplexity is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.log("perplexity").alias("x"), "n"), "held")
-        middle = held.groupBy("lang").agg(F.count("*").alias("rows"), F.percentile_approx("x", 0.5, 10_000).alias("m")).where(F.col("rows") >= MIN_HELD)
-        excess = held.join(middle, "lang").withColumn("e", (F.col("x") - F.col("m")) * F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
-        limits = excess.groupBy("lang", "m").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("limit"))
-        self.limits = {r["lang"]: (r["m"], max(r["limit"], 0.0)) for r in limits.collect()}  # a row for each language
+        counts = count_ngrams(trusted.select(model_name(fold_of(F.col("doc_id")), F.col("lang")).alias("lang"), "text"))
+        self.table = model(materialize(_of_other_folds(counts), "ngrams"))
+        rows = self.table.count()
+        self.shards = Shards(self.spark, self.table, max(-(-rows // shard_rows), 1)) if rows * ROW_BYTES <= max_bytes else None
+        held = self.scored(trusted).where("perplexity is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.log("perplexity").alias("x"), "n")
+        self.limits = limits(materialize(held, "held"))
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """doc_id, lang, perplexity (null: no model of that language), n (characters and the end)."""
+        """doc_id, lang, perplexity (null: no model for it), n (characters and the end)."""
         docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
         return self._scored_in_place(docs) if self.shards else self._scored_by_join(materialize(docs.withColumn("uid", F.expr("uuid()")), "texts")).drop("uid")
 
@@ -267,22 +279,24 @@ class Classifier:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = shards.load()
             for batch in batches:
-                found, n = _perplexities(scorer, batch, 1, 2)
+                found, n = _perplexities(scorer, batch, 3, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, from_pandas=True), pa.array(n)], ["doc_id", "lang", "perplexity", "n"])
 
-        return map_texts(docs, run, "doc_id long, lang string, perplexity double, n long")
+        named = docs.withColumn("_model", model_name(fold_of(F.col("doc_id")), F.col("lang")))
+        return map_texts(named, run, "doc_id long, lang string, perplexity double, n long")
 
     def _scored_by_join(self, docs: DataFrame) -> DataFrame:
         """The same by shuffled joins of each document's n-gram counts with the model, one order after the other; ``uid`` names the rows and is written, so that it stays."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row, text in enumerate(batch.column(3).to_pylist()):
-                    for first, part in _chunks([text]):
+                for uid, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    for _, part in _chunks([text]):
                         keys, n = np.unique(ngrams(part)[0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(keys), pa.string()), pa.array([batch.column(2)[row].as_py() or ""] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["uid", "lang", "key", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([uid] * len(keys), pa.string()), pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["uid", "lang", "key", "n"])
 
-        rows = map_texts(docs.select("uid", "doc_id", "lang", "text"), run, "uid string, lang string, key long, n long").withColumn("total", F.lit(0.0)).withColumn("open", F.lit(True))
+        docs = docs.withColumn("_model", model_name(fold_of(F.col("doc_id")), F.col("lang")))
+        rows = map_texts(docs.select("uid", "_model", "text"), run, "uid string, lang string, key long, n long").withColumn("total", F.lit(0.0)).withColumn("open", F.lit(True))
         for k in range(ORDER, 0, -1):
             p = self.table.where(F.col("part") == k).select("lang", F.col("key").alias("g"), F.col("value").cast("float").cast("double").alias("p"))
             w = self.table.where(F.col("part") == 10 + k).select("lang", F.col("key").alias("h"), F.col("value").cast("float").cast("double").alias("w"))
@@ -292,18 +306,18 @@ class Classifier:
             rows = rows.select("uid", "lang", "key", "n", (F.col("total") + step).alias("total"), (F.col("open") & F.col("p").isNull()).alias("open"))
         each = F.col("total") - F.when(F.col("open"), F.lit(float(np.log(CLASSES)))).otherwise(0.0)
         sums = rows.groupBy("uid").agg(F.exp(-F.sum(each * F.col("n")) / F.sum("n")).alias("perplexity"), F.sum("n").alias("n"))
-        known = self.table.select("lang").distinct().withColumn("known", F.lit(True))
-        out = docs.drop("text").join(sums, "uid").join(known.withColumnRenamed("lang", "_l"), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
+        known = self.table.select(F.col("lang").alias("_model")).distinct().withColumn("known", F.lit(True))
+        out = docs.drop("text").join(sums, "uid").join(known, "_model", "left")
         return out.select("uid", "doc_id", "lang", F.when(F.col("known"), F.col("perplexity")).alias("perplexity"), "n")
 
     def verdicts(self, docs: DataFrame) -> DataFrame:
-        """See VERDICT; threshold is null where the language has none."""
+        """See VERDICT; threshold is null where there is no model."""
         return self._judged(self.scored(docs)).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
     def _judged(self, scored: DataFrame) -> DataFrame:
         limits = self.spark.createDataFrame([(k, *v) for k, v in self.limits.items()], "_l string, _m double, _limit double")
         scored = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
-        threshold = F.exp(F.col("_m") + F.col("_limit") / F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
+        threshold = F.when(F.col("perplexity").isNotNull(), F.exp(F.col("_m") + F.col("_limit") / F.sqrt(F.col("n") / (F.col("n") + PRIOR))))
         return scored.withColumn("threshold", threshold).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
     def keep(self, docs: DataFrame) -> DataFrame:
@@ -315,16 +329,36 @@ class Classifier:
             gone = self._judged(self._scored_by_join(texts)).where("not kept").select(F.col("uid").alias(name))
             return rows.join(gone, name, "left_anti").select(docs.columns)
         shards, limits, schema = self.shards, self.limits, docs.schema
-        lang, text = docs.columns.index("lang"), docs.columns.index("text")
+        lang, text, width = docs.columns.index("lang"), docs.columns.index("text"), len(docs.columns)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = shards.load()
             for batch in batches:
-                found, n = _perplexities(scorer, batch, lang, text)
+                found, n = _perplexities(scorer, batch, width, text)
                 m, limit = np.array([limits.get(x if x is not None else "", (0.0, np.inf)) for x in batch.column(lang).to_pylist()]).reshape(-1, 2).T
-                yield batch.filter(pa.array(~(found > np.exp(m + limit / np.sqrt(n / (n + PRIOR))))))
+                own = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+                yield own.filter(pa.array(~(found > np.exp(m + limit / np.sqrt(n / (n + PRIOR))))))
+
+        named = docs.withColumn(f"model_{uuid.uuid4().hex}", model_name(fold_of(F.col("doc_id")), F.col("lang")))
+        return map_texts(named, run, schema)
+
+
+def _of_other_folds(counts: DataFrame) -> DataFrame:
+    """Counts by the model that they train: a fold's n-grams count for the models of all other folds."""
+    fold, lang = F.substring_index("lang", ":", 1).cast("int"), F.expr("substring(lang, instr(lang, ':') + 1)")
+    others = F.transform(F.sequence(F.lit(1), F.lit(FOLDS - 1)), lambda k: F.pmod(fold + k, F.lit(FOLDS)))
+    rows = counts.select(F.explode(others).alias("_f"), lang.alias("_l"), "key", "n").select(model_name(F.col("_f"), F.col("_l")).alias("lang"), "key", "n")
+    return rows if FOLDS == 2 else rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
 
-        return map_texts(docs, run, schema)
+def limits(held: DataFrame) -> dict[str, tuple[float, float]]:
+    """By language: the median and the limit of the excess of trusted documents (lang, x, n); a row for each language."""
+    middle = held.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
+    excess = held.join(F.broadcast(middle), "lang").withColumn("e", (F.col("x") - F.col("m")) * F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
+    own = excess.groupBy("lang", "m").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("limit"), F.max("e").alias("most"), F.count("*").alias("rows")).collect()
+    whole = excess.agg(F.percentile_approx("e", QUANTILE, 10_000)).first()[0] if own else None
+    enough = round(1 / (1 - QUANTILE))
+    return {r["lang"]: (r["m"], max(r["limit"] if r["rows"] >= enough else max(r["most"], whole), 0.0)) for r in own}
 
 
 def _perplexities(scorer: Scorer, batch: pa.RecordBatch, lang: int, text: int) -> tuple[np.ndarray, np.ndarray]:
