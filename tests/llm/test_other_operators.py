@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,6 +352,43 @@ def test_the_whole_article(spark, inner, want):
     assert {r["text"] for r in html_extraction.extract_pages(df).collect()} == {want}
 
 
+SHAPES = {
+    "classed body": ("<body class='has-sidebar modal-open'><div><p>{a}</p></div></body>", "{a}"),
+    "wrapping form": ("<body><form action=x><h1>T</h1><div class=content><p>{a}</p></div><label>q</label><input><select><option>o</select></form></body>", "T|{a}"),
+    "form without an article around": ("<body><form><p>{a}</p></form></body>", "{a}"),
+    "small form": ("<body><div class=post><p>{a}</p><form><p>Subscribe, please, to our letter</p></form></div></body>", "{a}"),
+    "unequal sections": ("<main><section><p>{a}</p><p>{a}</p></section><section><h2>S</h2><p>short</p></section></main>", "{a}|{a}|S|short"),
+    "note in a paragraph": ("<article><p>{a}</p><p class='side-note'>A note.</p><p class='advert'>Buy!</p></article>", "{a}|A note."),
+    "comments inside": ("<article><h1>T</h1><p>{a}</p><div class='comments'><article class='comment-body'><p>{a}{a}</p></article></div></article>", "T|{a}"),
+    "long comments": ("<div class=post><p>{a}</p></div><div id=comments><div class=comment><p>{a}{a}{a}</p></div></div>", "{a}"),
+    "title beside": ("<body><h1>T</h1><div class=content><p>{a}</p></div></body>", "T|{a}"),
+    "title in a box": ("<body><header><h1>Site</h1></header><div class=t><h1>T</h1></div><div class=content><p>{a}</p></div></body>", "T|{a}"),
+    "site's title": ("<body><h1>Site</h1><article><h1>T</h1><p>{a}</p></article></body>", "T|{a}"),
+    "title among other text": ("<body><div><h1>Site</h1><p>motto</p></div><div class=content><p>{a}</p></div></body>", "{a}"),
+    "wrapper named menu": ("<div class='menu-page'><main><p>{a}</p></main></div>", "{a}"),
+    "advert in a line": ("<article><p>{a}<span class=ad>Buy!</span></p></article>", "{a}"),
+    "menu in an article": ("<article><nav>x</nav><p>{a}</p><ul class='share-links'><li>f</ul><aside>y</aside></article>", "{a}"),
+    "deep": ("<div>" * 3000 + "<article><p>{a}</p></article>" + "</div>" * 3000, "{a}"),
+    "deep sidebars": ("<div class=sidebar>" * 3000 + "<article><p>{a}</p></article>", "{a}"),
+    "slash in a class": ("<div class='w-1/2 post'><p>{a}</p></div><div class='w-1/3'><p>other</p></div>", "{a}"),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_page_shapes(name):
+    page, want = (x.replace("{a}", LONG.strip()) for x in SHAPES[name])
+    assert html_extraction.extract(page, None) == want.replace("|", "\n")
+    best = html_extraction.score(*html_extraction.read(page))[0]
+    assert html_extraction.path_key(best.path) == best.key and html_extraction.extract(page, best.path) == want.replace("|", "\n")
+
+
+@pytest.mark.parametrize("page", ["<b><p>x" * 140_000, "<b>x" * 250_000, "<div>x" * 170_000, "<div class=sidebar>" * 50_000 + "<article>x", "<i>" * 150_000 + "</u></b>" * 70_000, "<ul><li>" * 120_000, "<table><tr><td>" * 65_000, "<a href=\"x'>" * 90_000])
+def test_a_megabyte_of_unclosed_tags(page):
+    began = time.process_time()
+    html_extraction.extract(page, None)
+    assert time.process_time() - began < 15  # about 2 s; a scan of the stack for each tag takes minutes
+
+
 # --- fixity ---------------------------------------------------------------------------------------------
 
 
