@@ -3,23 +3,30 @@
 * Calls and results are joined by (conversation, identifier). Of repeated calls or results of one
   identifier the first by ``seq`` counts.
 * Calls are ordered topologically: the level of a call is the longest chain of calls that it waits
-  for. A round settles all calls whose last open prerequisite was settled in the round before, so
-  rounds are as many as the longest chain; each is written to shared storage. Calls on a cycle, or
-  behind one, get no level and come last. Prerequisites that aren't calls are ignored.
-* Arguments are parsed to variants and checked against the tool's schema in place.
+  for. A call that waits for one open call points at it with x -> max(b, x + w); such functions
+  compose, so chains are followed by doubling the pointers, in rounds that grow with the logarithm of
+  their length. Calls that wait for several open ones get their levels when those are known, so rounds
+  beyond that are only as many as such calls follow one another. Each round is written to shared
+  storage. Calls on a cycle, or behind one, get no level and come last. Prerequisites that aren't
+  calls are ignored.
+* Arguments are parsed to variants and checked against the tool's schema in place: required
+  parameters, types, enumerated values, and parameters of objects in arguments ("object.parameter").
 * The linked call is serialised as canonical JSON: keys in order, no white space, numbers normalised.
 
 Positions in a conversation are ranks by (level, seq, call_id) found from counts of ranges, so that
 a conversation with a third of all calls isn't sorted by one task.
 
-Edge cases: rows without conversation or identifier aren't linked (status ``no_id``); results without
-a call are ``orphan_result``; arguments that are null, no JSON, no object or have repeated keys are
-``not_json`` and serialised as the string they are; empty tables give empty results; other columns
-are ignored. ``seq`` is a number from 0 on; null counts as 0.
+Edge cases: calls and results without conversation or identifier aren't linked; each is one row of its
+own with status ``no_id``. Results without a call are ``orphan_result``; arguments that are null, no
+JSON, no object or have repeated keys are ``not_json`` and serialised as the string they are; empty
+tables give empty results; other columns are ignored. ``seq`` is a number from 0 on; null counts as 0.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +46,69 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL.*|DO
 
 
 def schemas(spark: SparkSession, rows: tuple = SCHEMAS) -> DataFrame:
-    """(name, params) with an array of (param, kind, required) for each tool; kind is a pattern of variant types."""
-    s = table(spark, [(a, b, f"^({TYPES[c]})$", d) for a, b, c, d in rows], "name string, param string, kind string, required boolean")
-    return s.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "kind", "required"))).alias("params"))
+    """(name, params) with an array of (param, kind, required, allowed) for each tool.
+
+    Rows are (tool, parameter, type, required[, values]); kind is a pattern of variant types, allowed the
+    values as JSON (null: any). A parameter "a.b" is b in the object a, and required only if a is there.
+    """
+    flat = [(r[0], r[1], f"^({TYPES[r[2]]})$", r[3], json.dumps(list(r[4])) if len(r) > 4 else None) for r in rows]
+    s = table(spark, flat, "name string, param string, kind string, required boolean, allowed string")
+    s = s.withColumn("allowed", F.expr("transform(try_cast(try_parse_json(allowed) as array<variant>), x -> to_json(x))"))
+    return s.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "kind", "required", "allowed"))).alias("params"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) for calls (conv_id, call_id, after); null on and behind cycles."""
-    waits = calls.select(*KEY, F.explode(F.array_distinct("after")).alias("need")).join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
+    names = calls.select("conv_id", F.col("call_id").alias("need"))
+    waits = calls.select(*KEY, F.explode(F.array_distinct("after")).alias("need")).join(names, ["conv_id", "need"]).select(*KEY, "need", F.lit(1).cast("long").alias("w"))
     waits = materialize(waits, "waits")
-    state = calls.select(*KEY, F.lit(0).cast("long").alias("open")).unionByName(waits.select(*KEY, F.lit(1).cast("long").alias("open"))).groupBy(*KEY).agg(F.sum("open").alias("open"))
-    state, k = materialize(state.select(*KEY, "open", F.when(F.col("open") == 0, 0).alias("level")), "levels"), 0
-    while not (done := state.where(F.col("level") == k)).isEmpty():
-        met = done.select("conv_id", F.col("call_id").alias("need")).join(waits, ["conv_id", "need"]).select(*KEY, F.lit(-1).cast("long").alias("open"), F.lit(None).cast("int").alias("level"))
-        left = state.unionByName(met).groupBy(*KEY).agg(F.sum("open").alias("open"), F.max("level").alias("level"))
-        k += 1
-        new = materialize(left.select(*KEY, "open", F.when(F.col("level").isNull() & (F.col("open") == 0), k).otherwise(F.col("level")).alias("level")), "levels")
-        discard(state)
-        state = new
-    return state.select(*KEY, "level")
+    base = calls.select(*KEY, F.lit(0).cast("long").alias("b"))
+    left = waits.count()
+    while left:
+        ends = _followed(waits, base)
+        new_waits, new_base = _contracted(waits, base, ends)
+        now = new_waits.count()
+        waits, base = new_waits, new_base
+        if now == left and new_waits.join(_open(new_waits), ["conv_id", "need"], "left_anti").isEmpty():
+            break  # all that is left waits for what waits: cycles and calls behind them
+        left = now
+    stuck = _open(waits).select("conv_id", F.col("need").alias("call_id"), F.lit(True).alias("_stuck"))
+    return base.join(stuck, KEY, "left").select(*KEY, F.when(F.col("_stuck").isNull(), F.col("b").cast("int")).alias("level"))
+
+
+def _open(waits: DataFrame) -> DataFrame:
+    """(conv_id, need): calls that still wait."""
+    return waits.select("conv_id", F.col("call_id").alias("need")).distinct()
+
+
+def _followed(waits: DataFrame, base: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, w, b, round) of calls that wait for one: the function x -> max(b, x + w) of the level of ``to``,
+    the first call on the way that waits for none or several; ``round`` is set for calls that only lead round a cycle."""
+    one = waits.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("need").alias("to"), F.min("w").alias("w")).where("n = 1")
+    jumps, before = materialize(one.join(base, KEY).select(*KEY, "to", "w", "b"), "jumps"), None
+    while True:
+        on = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("b").alias("_b"))
+        more = jumps.join(on, ["conv_id", "to"], "left")
+        still = more.where("_to is not null").count()
+        # calls at the end of a chain drop out with each doubling, so an equal number is cycles alone
+        if still == 0 or still == before:
+            return more.select(*KEY, "to", "w", "b", F.col("_to").isNotNull().alias("round"))
+        new = materialize(more.select(*KEY, F.coalesce("_to", "to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.greatest("b", F.col("_b") + F.col("w")).alias("b")), "jumps")
+        discard(jumps)
+        jumps, before = new, still
+
+
+def _contracted(waits: DataFrame, base: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``waits`` and ``base`` after following chains to their ends and taking the levels of calls that wait no more."""
+    several = waits.join(ends.select(*KEY), KEY, "left_anti")
+    via = ends.where("not round").select("conv_id", F.col("call_id").alias("need"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("b").alias("_b"))
+    hop = several.join(via, ["conv_id", "need"], "left").select(*KEY, F.coalesce("_to", "need").alias("need"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), (F.col("_b") + F.col("w")).alias("b"))
+    step = materialize(hop.unionByName(ends.select(*KEY, F.col("to").alias("need"), "w", "b")), "steps")
+    done = base.join(waits.select(*KEY).distinct(), KEY, "left_anti").select("conv_id", F.col("call_id").alias("need"), F.col("b").alias("_level"))
+    met = step.join(done, ["conv_id", "need"], "left")
+    new_base = base.unionByName(met.select(*KEY, F.greatest("b", F.col("_level") + F.col("w")).alias("b")).where("b is not null")).groupBy(*KEY).agg(F.max("b").alias("b"))
+    new_waits = met.where("_level is null").groupBy(*KEY, "need").agg(F.max("w").alias("w"))
+    return materialize(new_waits, "waits"), materialize(new_base, "base")
 
 
 def positions(ordered: DataFrame) -> DataFrame:
@@ -74,17 +125,23 @@ def validated(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """``calls`` with ``_v`` (arguments as a variant) and ``errors`` (sorted, joined by commas; empty: valid)."""
     tools = F.broadcast(tools) if tools.count() <= MAX_SENT_SCHEMAS else tools
     parsed = calls.withColumn("_v", F.expr("try_parse_json(arguments)")).withColumn("_m", F.expr("try_cast(_v as map<string, variant>)")).join(tools.withColumnRenamed("params", "_p"), "name", "left")
+    # arguments by name, and those of objects among them as "object.parameter"
+    inner = "transform(map_entries(try_cast(e.value as map<string, variant>)), c -> struct(concat(e.key, '.', c.key) as key, c.value as value))"
+    parsed = parsed.withColumn("_n", F.expr(f"map_from_entries(flatten(transform(map_entries(_m), e -> coalesce({inner}, array()))))")).withColumn("_o", F.expr("transform(_p, p -> p.param)"))
+    found = "coalesce(_m[p.param], _n[p.param])"
     errors = F.expr(
-        """case when _m is null then array('not_json') when _p is null then array('unknown_tool') else concat(
-        transform(filter(_p, p -> p.required and not map_contains_key(_m, p.param)), p -> concat('missing:', p.param)),
-        transform(filter(_p, p -> map_contains_key(_m, p.param) and not schema_of_variant(_m[p.param]) rlike p.kind), p -> concat('type:', p.param)),
-        transform(array_except(map_keys(_m), transform(_p, p -> p.param)), k -> concat('unexpected:', k))) end"""
+        f"""case when _m is null then array('not_json') when _p is null then array('unknown_tool') else concat(
+        transform(filter(_p, p -> p.required and {found} is null and (not p.param like '%.%' or map_contains_key(_m, split(p.param, '[.]')[0]))), p -> concat('missing:', p.param)),
+        transform(filter(_p, p -> {found} is not null and not schema_of_variant({found}) rlike p.kind), p -> concat('type:', p.param)),
+        transform(filter(_p, p -> {found} is not null and schema_of_variant({found}) rlike p.kind and p.allowed is not null and not array_contains(p.allowed, to_json({found}))), p -> concat('value:', p.param)),
+        transform(filter(map_keys(_m), k -> not array_contains(_o, k) and not exists(_o, o -> startswith(o, concat(k, '.')))), k -> concat('unexpected:', k)),
+        transform(filter(map_keys(_n), k -> not array_contains(_o, k) and exists(_o, o -> startswith(o, concat(split(k, '[.]')[0], '.')))), k -> concat('unexpected:', k))) end"""
     )
-    return parsed.withColumn("errors", F.concat_ws(",", F.sort_array(errors))).drop("_m", "_p")
+    return parsed.withColumn("errors", F.concat_ws(",", F.sort_array(errors))).drop("_m", "_p", "_n", "_o")
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    """One row for each call and each orphan result.
+    """One row for each identified call, each orphan result, and each call or result without identifier.
 
     ``calls`` is (conv_id, call_id, seq, name, arguments, after), ``results`` (conv_id, call_id, seq,
     content). Columns: conv_id, call_id, name, status, level, position, errors, canonical.
@@ -99,11 +156,19 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     place = positions(first.select(*KEY, "seq").join(order, KEY))
     whole = validated(first, tools).withColumn("_called", F.lit(True)).join(order, KEY).join(place, KEY).join(answer, KEY, "full_outer")
     status = F.when(F.col("_called").isNull(), "orphan_result").when(F.col("_answered").isNull(), "missing_result").when(F.col("level").isNull(), "cycle").otherwise("ok")
+    linked = whole.withColumn("status", status)
+    none = {"status": F.lit("no_id"), "level": F.lit(None).cast("int"), "position": F.lit(None).cast("long")}
+    lost = validated(calls.where(~named), tools).withColumns(none | {"result": F.lit(None).cast("string")})
+    blank = {"name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("string"), "errors": F.lit(None).cast("string"), "_v": F.expr("cast(null as variant)"), "result": F.col("content")}
+    unheard = results.where(~named).withColumns(none | blank)
+    return reduce(DataFrame.unionByName, [_serialised(x) for x in (linked, lost, unheard)])
+
+
+def _serialised(rows: DataFrame) -> DataFrame:
+    """With the canonical JSON of what is there: arguments, id, name and result."""
     args = F.when(F.col("errors").contains("not_json"), F.expr("cast(arguments as variant)")).otherwise(F.col("_v"))
     canonical = F.to_json(F.struct(args.alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("result")))
-    linked = whole.select(*KEY, "name", status.alias("status"), "level", "position", "errors", canonical.alias("canonical"))
-    lost = calls.where(~named).select("conv_id", "call_id", "name", F.lit("no_id").alias("status"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("errors"), F.lit(None).cast("string").alias("canonical"))
-    return linked.unionByName(lost)
+    return rows.select(*KEY, "name", "status", "level", "position", "errors", canonical.alias("canonical"))
 
 
 def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

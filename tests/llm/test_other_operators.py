@@ -261,20 +261,66 @@ def test_tool_calls(spark):
         (1, "a", 0, "search", '{"top": 1.0e0, "query":"x"}', ["b"]), (1, "b", 1, "search", '{"query": "y", "top": 3}', ["c", "missing"]), (1, "c", 2, "search", '{"query": 5}', []), (1, "c", 3, "search", '{"query": "late"}', None), (1, "d", 4, "other", "{}", ["e"]),
         (1, "e", 5, "search", "[1]", ["d"]), (1, "f", 6, "search", None, ["e"]), (None, "g", 0, "search", "{}", []), (2, None, 0, "search", "{}", []), (2, "a", 0, "search", '{"query":"a","query":"b"}', ["a"]), (3, "a", None, None, '{"b":{"d":1,"c":[2,1]},"a":"é\\n"}', []),
     ]
-    results = [(1, "a", 1, "second"), (1, "a", 0, "first"), (1, "zz", 9, "lost"), (1, "c", 9, None), (None, "c", 1, "x")]
+    results = [(1, "a", 1, "second"), (1, "a", 0, "first"), (1, "zz", 9, "lost"), (1, "c", 9, None), (None, "c", 1, "x"), (3, None, 1, "y")]
     c = spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, after array<string>").withColumn("level", F.lit("clash")).withColumn("params", F.lit(1))
     r = spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string").withColumn("result", F.lit(1))
     rows = tool_calls.link(c, r, tool_calls.schemas(spark)).collect()
     got = {(x["conv_id"], x["call_id"]): x for x in rows}
     assert {k: (x["status"], x["level"], x["position"], x["errors"]) for k, x in got.items()} == {
         (1, "c"): ("ok", 0, 0, "type:query"), (1, "b"): ("missing_result", 1, 1, ""), (1, "a"): ("ok", 2, 2, "type:top"), (1, "d"): ("missing_result", None, 3, "unknown_tool"), (1, "e"): ("missing_result", None, 4, "not_json"), (1, "f"): ("missing_result", None, 5, "not_json"),
-        (1, "zz"): ("orphan_result", None, None, None), (None, "g"): ("no_id", None, None, None), (2, None): ("no_id", None, None, None), (2, "a"): ("missing_result", None, 0, "not_json"), (3, "a"): ("missing_result", 0, 0, "unknown_tool"),
+        (1, "zz"): ("orphan_result", None, None, None), (None, "g"): ("no_id", None, None, "missing:query"), (2, None): ("no_id", None, None, "missing:query"), (None, "c"): ("no_id", None, None, None), (3, None): ("no_id", None, None, None), (2, "a"): ("missing_result", None, 0, "not_json"), (3, "a"): ("missing_result", 0, 0, "unknown_tool"),
     }
     assert got[3, "a"]["canonical"] == '{"arguments":{"a":"é\\n","b":{"c":[2,1],"d":1}},"id":"a"}'
     assert json.loads(got[1, "a"]["canonical"])["result"] == "first"
+    assert got[None, "c"]["canonical"] == '{"id":"c","result":"x"}' and got[3, None]["canonical"] == '{"result":"y"}' and got[None, "g"]["canonical"] == '{"arguments":{},"id":"g","name":"search"}'
     assert tool_calls.link(c.limit(0), r.limit(0), tool_calls.schemas(spark)).count() == 0
 
 
+def plain_levels(after):
+    """Longest chains by removing calls that wait for nothing; None on and behind cycles."""
+    open_ = {c: {n for n in needs if n in after} for c, needs in after.items()}
+    out = {}
+    while ready := [c for c, needs in open_.items() if c not in out and all(n in out for n in needs)]:
+        out |= {c: max((out[n] + 1 for n in open_[c]), default=0) for c in ready}
+    return {c: out.get(c) for c in after}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_against_brute_force(spark, seed):
+    rng, rows, want = random.Random(seed), [], {}
+    for conv in range(25):
+        n = rng.randrange(1, 14)
+        after = {f"c{k}": list({f"c{rng.randrange(n + 1) if rng.random() < 0.08 else rng.randrange(k)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))}) if k else [] for k in range(n)}
+        rows += [(conv, c, needs) for c, needs in after.items()]
+        want |= {(conv, c): v for c, v in plain_levels(after).items()}
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(df).collect()} == want
+    assert None in want.values()
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, made = 3000, []
+    write = tool_calls.materialize
+    monkeypatch.setattr(tool_calls, "materialize", lambda df, name: made.append(name) or write(df, name))
+    df = spark.range(n).selectExpr("1L as conv_id", "concat('c', id) as call_id", "case when id = 0 then array('none') when id = 2000 then array('c1999', 'c7') else array(concat('c', id - 1)) end as after")
+    df = df.unionByName(spark.createDataFrame([(1, "x", ["y"]), (1, "y", ["x"]), (1, "z", ["y", "c5"])], "conv_id long, call_id string, after array<string>"))
+    found = {r["call_id"]: r["level"] for r in tool_calls.levels(df).collect()}
+    assert found == {f"c{k}": k for k in range(n)} | {"x": None, "y": None, "z": None}
+    assert len(made) < 40
+
+
+def test_nested_and_enumerated_arguments(spark):
+    tools = tool_calls.schemas(spark, (("f", "lang", "string", True, ("de", "en")), ("f", "opts", "object", False), ("f", "opts.top", "integer", True, (1, 5)), ("f", "opts.on", "boolean", False)))
+    cases = {
+        '{"lang":"de"}': "", '{"lang":"fr"}': "value:lang", '{"lang":1}': "type:lang", '{"lang":"en","opts":{"top":5,"on":true}}': "", '{"lang":"en","opts":{"on":true}}': "missing:opts.top",
+        '{"lang":"en","opts":{"top":7,"on":1,"x":0}}': "type:opts.on,unexpected:opts.x,value:opts.top", '{"lang":"en","opts":[1]}': "missing:opts.top,type:opts", '{"lang":"en","opts":{"top":"5"},"y":{"z":1}}': "type:opts.top,unexpected:y",
+    }
+    calls = spark.createDataFrame([(1, f"c{k}", k, "f", a, []) for k, a in enumerate(cases)], "conv_id long, call_id string, seq long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, seq long, content string")
+    found = {r["call_id"]: r["errors"] for r in tool_calls.link(calls, results, tools).collect()}
+    assert found == {f"c{k}": e for k, e in enumerate(cases.values())}
+
+
 def test_positions_over_ranges(spark):
     rows = [(k % 2, f"c{k}", (k * 37) % 1000, k % 3) for k in range(1500)]
     df = spark.createDataFrame(rows, "conv_id long, call_id string, seq long, level int")
