@@ -449,6 +449,29 @@ def test_fixity_edges(spark):
     assert warc_fixity.compare(a.limit(0), a.limit(0)).count() == 0 and warc_fixity.compare(a, a.limit(0)).count() == a.select("offset").distinct().count()
 
 
+def test_fixity_of_several_columns_under_one_root(spark):
+    rows = [(k if k % 5 else None, f"u{k}", f"p{k}") for k in range(200)] + [(-7, "neg", "x")]
+    a = spark.createDataFrame(rows, "offset long, url string, payload string")
+    tree = warc_fixity.Tree(a, warc_fixity.height([a], 4, 3), 4, 3, payload=("url", "payload"))
+    assert tree.root.count() == 1
+    b = a.withColumn("url", F.when(F.col("offset") == 7, "moved").otherwise(F.col("url")))
+    assert [tuple(r) for r in warc_fixity.compare(a, b, payload=("url", "payload")).collect()] == [(7, "changed")]
+    assert warc_fixity.compare(a, b).count() == 0
+    # what stands at the border of two columns counts
+    c = spark.createDataFrame([(1, "ab", "c")], "offset long, url string, payload string")
+    d = spark.createDataFrame([(1, "a", "bc")], "offset long, url string, payload string")
+    assert warc_fixity.compare(c, d, payload=("url", "payload")).count() == 1
+    lost = a.where("url <> 'u0'")
+    assert [tuple(r) for r in warc_fixity.compare(a, lost, payload=("url", "payload")).collect()] == [(-1, "changed")]
+
+
+def test_every_digit_of_a_digest_counts(spark):
+    """The digest of an offset changes with any part of its record's hash."""
+    one = spark.createDataFrame([(1, "x")], "offset long, payload string")
+    assert warc_fixity.PIECES * warc_fixity.DIGITS == 64
+    assert warc_fixity.record_digests(one).first()["digest"] != warc_fixity.record_digests(one.unionByName(one)).first()["digest"]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 
 
