@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import time
 
 import pytest
@@ -253,6 +254,61 @@ def test_licenses(spark):
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
 
 
+def comment(text, mark=" * "):
+    return "/*\n" + "\n".join(mark + x for x in text.split("\n")) + "\n */\nint main(void) { return 0; }\n"
+
+
+def wrapped(text, width=72):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+APACHE_HEAD = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+GPL_HEAD = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def paragraphs(name, *texts):
+    return f"{name}\n\nCopyright (c) 2019, Ada Example and others\nAll rights reserved.\n\n" + "\n\n".join(wrapped(t) for t in texts)
+
+
+def test_license_texts(spark):
+    t = license_scan
+    bsd = (t.REDISTRIBUTION.split(" 1. ")[0], "1. " + t.REDISTRIBUTION.split(" 1. ")[1].split(" 2. ")[0], "2. " + t.REDISTRIBUTION.split(" 2. ")[1])
+    files = {
+        "mit/LICENSE": ("MIT", paragraphs("MIT License", t.PERMISSION, t.NOTICE, t.AS_IS)), "a/x.c": ("Apache-2.0", comment(wrapped(t.TEXTS[0][1]))), "apache/LICENSE": ("Apache-2.0", APACHE_HEAD), "g/x.c": ("GPL-3.0", comment(GPL_HEADER)),
+        "g/COPYING": ("GPL-3.0", GPL_HEAD), "b3/LICENSE.txt": ("BSD-3-Clause", paragraphs("BSD 3-Clause License", *bsd, t.ENDORSE, t.DISCLAIMER)), "b2/LICENSE": ("BSD-2-Clause", paragraphs("BSD 2-Clause License", *bsd, t.DISCLAIMER)),
+        "b3/x.c": ("BSD-3-Clause", "int x;"), "s/x.py": ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-only\nx = 1"), "s/y.py": ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1-or-later"), "m/x.js": ("MPL-2.0", comment(wrapped(t.TEXTS[8][1]))),
+        "mit2/x.py": ("MIT", "# " + wrapped(t.PERMISSION).replace("\n", "\n# ") + "\n#\n# " + wrapped(t.NOTICE).replace("\n", "\n# ")), "r/x": ("Proprietary", "Copyright 2020 X.\nAll rights reserved."), "r/y": ("MIT", "All rights reserved.\n\nReleased under the MIT License."),
+        "n/prose": (None, "It is a long story of the people and the license that they had to keep, and of the permission\nthat nobody gave them, so they went away and came back in spring."),
+    }
+    df = spark.createDataFrame([(k, p, text) for k, (p, (_, text)) in enumerate(files.items())], "id long, path string, text string")
+    assert {r["path"]: r["license"] for r in license_scan.scan(df).collect()} == {p: want for p, (want, _) in files.items()}
+
+
 # --- tool calls ---------------------------------------------------------------------------------------
 
 
