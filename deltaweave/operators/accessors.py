@@ -27,6 +27,11 @@ def top_out_degree(g: Graph, k: int) -> DataFrame:
     return out_degree(g).orderBy(F.desc("degree"), "id").limit(k)
 
 
+def bottom_out_degree(g: Graph, k: int) -> DataFrame:
+    """The k vertices of lowest out-degree (ties: least id first)."""
+    return out_degree(g).orderBy("degree", "id").limit(k)
+
+
 def counts(g: Graph) -> DataFrame:
     """n_vertices, n_edges."""
     return g.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(g.edges.agg(F.count("*").alias("n_edges")))
@@ -60,6 +65,16 @@ def border(g: Graph, labels: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.max("e.i").alias("incoming"), F.max("e.o").alias("outgoing"))
 
 
-def destination_parts(g: Graph, labels: DataFrame) -> DataFrame:
-    """(id, label): the other parts that a vertex has out-edges into."""
-    return labelled(g.edges, labels).where("not src_label <=> dst_label and dst_label is not null").select(F.col("src").alias("id"), F.col("dst_label").alias("label")).distinct()
+def destination_parts(g: Graph, labels: DataFrame, side: str = "out") -> DataFrame:
+    """(id, label): the other parts that a vertex has out-edges into, in-edges from (``in``), or either (``both``)."""
+    over = labelled(g.edges, labels).where("not src_label <=> dst_label")
+    out = over.where("dst_label is not null").select(F.col("src").alias("id"), F.col("dst_label").alias("label"))
+    into = over.where("src_label is not null").select(F.col("dst").alias("id"), F.col("src_label").alias("label"))
+    return {"out": out, "in": into, "both": out.unionByName(into)}[side].distinct()
+
+
+def neighbours_within(g: Graph, labels: DataFrame, inner: bool = True, part: int | None = None) -> DataFrame:
+    """(id, neighbour, weight): out-edges that stay in their part (or leave it), or those into one named part."""
+    same = F.col("src_label") == F.col("dst_label")
+    kept = F.col("dst_label") == part if part is not None else same if inner else ~F.coalesce(same, F.lit(False))
+    return labelled(g.edges, labels).where(kept).select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "weight")

@@ -5,7 +5,7 @@ Choices are made by arithmetic on the edge's ends and a seed, so they repeat on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaweave.sources.graph import endpoints
@@ -20,16 +20,63 @@ def ticket(seed: int = 10) -> Column:
     return ((F.col("src") % MODULUS) * 7919 + (F.col("dst") % MODULUS) * 104729 + seed) % MODULUS
 
 
-def split_updates(edges: DataFrame, share: float, seed: int = 10, keep: int = 2) -> DataFrame:
+def split_updates(edges: DataFrame, share: float, seed: int = 10, keep: int = 2, least: float = 0.2) -> DataFrame:
     """(src, dst, weight, part): ``base`` edges stay, ``add`` edges come in an update, ``delete`` edges go.
 
-    Half of ``share`` are adds (not in the base graph), half deletes. A vertex with ``keep`` out-edges
-    or fewer loses none.
+    Half of ``share`` are adds (not in the base graph), half deletes. A vertex keeps at least ``keep`` of
+    its out-edges and the share ``least`` of them: of those chosen, the ones with the least tickets go.
     """
-    degree = edges.groupBy("src").agg(F.count("*").alias("_deg"))
     half = int(share * MODULUS / 2)
-    part = F.when(F.col("_deg") <= keep, "base").when(ticket(seed) < half, "add").when(ticket(seed) < 2 * half, "delete").otherwise("base")
-    return edges.join(degree, "src").select("src", "dst", "weight", part.alias("part"))
+    order = F.row_number().over(Window.partitionBy("src", "_chosen").orderBy("_t", "dst", "weight"))
+    chosen = edges.withColumn("_t", ticket(seed)).withColumn("_chosen", F.col("_t") < 2 * half)
+    degree = edges.groupBy("src").agg(F.count("*").alias("_deg"))
+    may = F.col("_deg") - F.greatest(F.lit(keep), F.ceil(F.col("_deg") * least))
+    ranked = chosen.where("_chosen").withColumn("_r", order)  # of a vertex only the chosen edges meet in a window
+    rest = chosen.where("not _chosen").withColumn("_r", F.lit(0))
+    part = F.when(~F.col("_chosen") | (F.col("_r") > may), "base").when(F.col("_t") < half, "add").otherwise("delete")
+    return ranked.unionByName(rest).join(degree, "src").select("src", "dst", "weight", part.alias("part"))
+
+
+def split_by_position(lines: DataFrame, share: float, n: int | None = None) -> DataFrame:
+    """(line, src, dst, weight, part): of ``lines`` numbered from 0 the last half of the share are deletes, the half before adds."""
+    n = lines.count() if n is None else n
+    half = int(n * share / 2)
+    part = F.when(F.col("line") >= n - half, "delete").when(F.col("line") >= n - 2 * half, "add").otherwise("base")
+    return lines.select("line", "src", "dst", "weight", part.alias("part"))
+
+
+def by_first_appearance(lines: DataFrame) -> DataFrame:
+    """Edges (line, src, dst, weight) with dense ids from 0 in the order in which ids first appear, without self-loops.
+
+    The source of a line comes before its target.
+    """
+    at = lines.select(F.explode(F.array(F.struct(F.col("src").alias("id"), (F.col("line") * 2).alias("at")), F.struct(F.col("dst").alias("id"), (F.col("line") * 2 + 1).alias("at")))).alias("x"))
+    first = at.groupBy("x.id").agg(F.min("x.at").alias("at"))
+    ids = dense_rank_in_order(first, "at").select("id", "new_id")
+    a, b = ids.select(F.col("id").alias("src"), F.col("new_id").alias("_a")), ids.select(F.col("id").alias("dst"), F.col("new_id").alias("_b"))
+    return lines.where("src <> dst").join(a, "src").join(b, "dst").select("line", F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight")
+
+
+def generate(lines: DataFrame, share: float, top: int = 64, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A data set from raw numbered lines: ids by first appearance, random weights, no sinks; base edges, updates, updated edges."""
+    edges = random_weights(close_sinks(by_first_appearance(lines).select("src", "dst", "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight")), top, seed)
+    return split_graphs(split_updates(edges, share, seed))
+
+
+def vertex_order(clusters: DataFrame) -> DataFrame:
+    """(id, position): vertices in the order of their clusters, dense from 0, so that a cluster lies together.
+
+    Clusters are numbered by their least member, which names them, and members follow by id.
+    """
+    least = clusters.groupBy("cluster").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    ranked = dense_rank_in_order(least, "least", "k")
+    tops = ranked.withColumn("_t", F.expr(f"k div {1 << 16}"))
+    heads = tops.groupBy("_t").agg(F.sum("n").alias("m"))
+    heads = heads.select("_t", (F.sum("m").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("base"))
+    run = F.sum("n").over(Window.partitionBy("_t").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    starts = tops.withColumn("_s", run - F.col("n")).join(F.broadcast(heads), "_t").select("cluster", (F.col("_s") + F.col("base")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("id")) - 1
+    return clusters.withColumn("_r", rank).join(starts, "cluster").select("id", (F.col("start") + F.col("_r")).cast("long").alias("position"))
 
 
 def split_graphs(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,50 +2,97 @@
 
 State is a DataFrame keyed by vertex; a round is one join of the active rows with the edges and one
 aggregate. Lineage is cut by reliable checkpoints in the shared folder, never kept by an executor.
-Nothing but counts and sums comes to the driver.
+Nothing but counts and sums comes to the driver. A run that doesn't converge raises ``NotConverged``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from deltaweave.functions.kernels import SelectKernel, SumKernel
 from deltaweave.session import cut
 from deltaweave.sources.graph import Graph
 
-MAX_ROUNDS = 10_000
+MAX_ROUNDS = 1_000_000
+#: Out-edges from which on a vertex is a hub, whose edges are dealt over salts.
+HUB_EDGES = 500_000
+#: Edges from which on a round looks at the frontier alone if that is at most so many rows; smaller graphs are cheaper taken whole.
+SPARSE_EDGES = 20_000_000
+SPARSE_ROWS = 500_000
+
+
+class NotConverged(RuntimeError):
+    """The fixpoint was not reached in the rounds allowed."""
 
 
 @dataclass(frozen=True)
 class Rounds:
-    """How far to go: a fixed number of rounds, or until the pending deltas sum to less than ``threshold``."""
+    """How far to go: a fixed number of rounds, or until the pending deltas sum to less than ``threshold``.
+
+    A run to a threshold that needs more than ``most`` rounds raises.
+    """
 
     rounds: int | None = None
     threshold: float = 1e-6
-    most: int = 100
+    most: int = 1000
     portion: float = 1.0
 
 
-def with_own_rows(edges: DataFrame, ids: DataFrame, value: str) -> DataFrame:
-    """Edges and one ``own`` row for each id, dealt by ``src`` and kept.
+@dataclass(frozen=True)
+class Links:
+    """Edges and one ``own`` row for each id, dealt by (src, salt) and kept; ``hubs`` is (id, salts) of split vertices, or None.
 
-    With the own rows a round reads the state once: what a vertex holds and what it sends come out
-    of the same join, so several rounds make one plan whose size grows in proportion.
+    With the own rows a round reads the state once: what a vertex holds and what it sends come out of
+    the same join, so several rounds make one plan whose size grows in proportion. A hub's edges lie in
+    as many parts as it takes to have at most HUB_EDGES in each, and its state row goes to all of them.
     """
-    own = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast(dict(edges.dtypes)[value]).alias(value), F.lit(True).alias("own"))
-    return edges.select("src", "dst", value, F.lit(False).alias("own")).unionByName(own).repartition("src").persist()
-
 
-def sum_round(state: DataFrame, links: DataFrame, keys: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
+    rows: DataFrame
+    hubs: DataFrame | None = None
+
+    def met(self, state: DataFrame, active: Column) -> DataFrame:
+        """``state`` joined with its own rows and, where ``active``, with its edges."""
+        sent, same = state, F.col("id") == F.col("src")
+        if self.hubs is not None:
+            salts = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+            sent = state.join(F.broadcast(self.hubs), "id", "left").withColumn("_at", salts).drop("_salts")
+            same = same & (F.col("_at") == F.col("salt"))
+        # both lie by id already, and the edges in order too: no exchange, and only the state is sorted
+        return sent.hint("merge").join(self.rows, same & (F.col("own") | active))
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
+
+
+def with_own_rows(edges: DataFrame, ids: DataFrame, value: str, hub_edges: int | None = None) -> Links:
+    """See Links; ``hub_edges`` overrides HUB_EDGES."""
+    most = HUB_EDGES if hub_edges is None else hub_edges
+    hubs, salt = None, F.lit(0)
+    edges = edges.select("src", "dst", value)
+    if edges.count() > most:  # at most as many hubs as that number divides the edges
+        found = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        found = cut(found.select("id", F.ceil(F.col("n") / most).cast("int").alias("_salts")))
+        if not found.isEmpty():
+            hubs = found
+            edges = edges.join(F.broadcast(hubs.withColumnRenamed("id", "src")), "src", "left")
+            salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst", value), F.col("_salts"))).cast("int")
+    own = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast(dict(edges.dtypes)[value]).alias(value), F.lit(True).alias("own"), F.lit(0).alias("salt"))
+    rows = edges.select("src", "dst", value, F.lit(False).alias("own"), salt.alias("salt")).unionByName(own)
+    by = ["src"] if hubs is None else ["src", "salt"]
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Links(rows.repartition(parts, *by).sortWithinPartitions(*by).persist(), hubs)
+
+
+def sum_round(state: DataFrame, links: Links, keys: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
     """One round: active deltas move into the value and, times the factor, along the edges.
 
     Rows with \\|delta\\| not over ``least`` keep their delta pending; ``keys`` are further grouping columns.
     """
     active, own = F.abs("delta") > least, F.col("own")
-    sent = state.join(links, (F.col("id") == F.col("src")) & (own | active))
+    sent = links.met(state, active)
     value = F.when(own, F.col("value") + F.when(active, F.col("delta")).otherwise(0.0)).otherwise(0.0)
     delta = F.when(own, F.when(active, 0.0).otherwise(F.col("delta"))).otherwise(F.col("delta") * F.col("factor"))
     return sent.select(*keys, F.col("dst").alias("id"), value.alias("value"), delta.alias("delta")).groupBy(*keys, "id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
@@ -56,9 +103,9 @@ def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys
 
     ``ids`` are the vertices that can hold a value; by default those of ``state`` and the targets.
     With ``portion`` under 1 only deltas above that quantile are active in a round, and convergence
-    is the same. A run to a threshold is checked at each cut.
+    is the same. A run to a threshold is checked at each cut, and raises if it doesn't get there.
     """
-    done, most = 0, how.rounds if how.rounds is not None else how.most
+    done, most, left = 0, how.rounds if how.rounds is not None else how.most, None
     least = 0.0 if how.rounds is not None else how.threshold / max(n, 1) * 1e-3
     links = with_own_rows(factors, ids if ids is not None else state.select("id").unionByName(factors.select(F.col("dst").alias("id"))).distinct(), "factor")
     try:
@@ -71,8 +118,12 @@ def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys
                 state = sum_round(state, links, keys, bar)
                 done += 1
             state = cut(state)
-            if how.rounds is None and (state.agg(F.sum(F.abs("delta"))).first()[0] or 0.0) < how.threshold:
-                break
+            if how.rounds is None:
+                left = state.agg(F.sum(F.abs("delta"))).first()[0] or 0.0
+                if left < how.threshold:
+                    return state
+        if how.rounds is None:
+            raise NotConverged(f"{left} is pending after {done} rounds, over the threshold {how.threshold}")
         return state
     finally:
         links.unpersist()
@@ -84,41 +135,111 @@ def run_sum(g: Graph, kernel: SumKernel, how: Rounds) -> DataFrame:
     return sum_fixpoint(kernel.start(g, n), kernel.factors(g.edges), n, how, ids=g.vertices)
 
 
-def select_fixpoint(state: DataFrame, edges: DataFrame, kernel: SelectKernel, keys: tuple[str, ...] = (), ids: DataFrame | None = None, most: int = MAX_ROUNDS, cut_every: int = 3) -> DataFrame:
+def select_fixpoint(state: DataFrame, edges: DataFrame, kernel: SelectKernel, keys: tuple[str, ...] = (), ids: DataFrame | None = None, most: int = MAX_ROUNDS, cut_every: int = 3, sparse: bool | None = None, sent: list | None = None) -> DataFrame:
     """Semi-naive rounds until no value improves: (keys, id, value, parent).
 
     ``state`` holds only vertices with a value. Its column ``round`` marks the frontier (0); rows
-    without that column are all frontier. A round's offers and the old state meet in one aggregate
-    over (key, round, parent): an equal offer of a later round loses, so a parent changes only on a
-    strict improvement and parents have no cycles. The end is tested at each cut.
+    without that column are all frontier. An equal offer of a later round loses, so a parent changes
+    only on a strict improvement and parents have no cycles. There are two kinds of rounds:
+
+    * whole: offers and the old state meet in one aggregate over (key, round, parent), a few rounds to
+      a cut;
+    * sparse, on graphs of over SPARSE_EDGES edges while the frontier has at most SPARSE_ROWS rows: the
+      frontier is broadcast to the edges, its offers to the state, and nothing else is shuffled. What
+      improves is appended to the state, which is put together again now and then.
 
-    Rounds are numbered from the last cut (0: the frontier there, -1: before), so every stretch
-    between cuts is the same plan and its generated code is compiled once.
+    ``sparse`` forces one kind. ``sent`` is a list that takes each round's number of edges over which something was sent.
     """
     if "round" not in state.columns:
         state = state.withColumn("round", F.lit(0))
-    links = with_own_rows(edges, ids if ids is not None else state.select("id").unionByName(edges.select(F.col("dst").alias("id"))).distinct(), "weight")
-    state, done = state.select(*keys, "id", "value", F.col("round").cast("int").alias("round"), "parent"), 0
-    best, own = F.min(F.struct(kernel.key(F.col("value")).alias("_key"), "round", "parent", "value")).alias("_best"), F.col("own")
+    state = state.select(*keys, "id", "value", F.col("round").cast("int").alias("round"), "parent")
+    sparse = edges.count() > SPARSE_EDGES if sparse is None else sparse
+    done, links = 0, None
+    if sparse:  # each round looks at all edges, so they are kept where they are
+        state, edges = cut(state), edges.select("src", "dst", "weight").persist()
     try:
         while done < most:
-            for k in range(cut_every):
-                met = state.join(links, (F.col("id") == F.col("src")) & (own | (F.col("round") == k)))
-                value = F.when(own, F.col("value")).otherwise(kernel.extend(F.col("value"), F.col("weight")))
-                rows = met.select(*keys, F.col("dst").alias("id"), value.alias("value"), F.when(own, F.col("round")).otherwise(k + 1).alias("round"), F.when(own, F.col("parent")).otherwise(F.col("src")).alias("parent"))
-                state = rows.groupBy(*keys, "id").agg(best).select(*keys, "id", "_best.value", "_best.round", "_best.parent")
+            if sparse and (front := cut(state.where("round = 0").select(*keys, "id", "value"))).count() <= SPARSE_ROWS:
+                state, rounds, over = _sparse_rounds(state, front, edges, kernel, keys, most - done, sent)
+                done += rounds
+                if over:
+                    break
+                continue
+            if links is None:
+                links = with_own_rows(edges, ids if ids is not None else state.select("id").unionByName(edges.select(F.col("dst").alias("id"))).distinct(), "weight")
+            state = _whole_rounds(state, links, kernel, keys, cut_every, sent)
             done += cut_every
-            state = cut(state.withColumn("round", F.when(F.col("round") == cut_every, 0).otherwise(-1)))
             if state.where("round = 0").isEmpty():
                 break
+        else:
+            raise NotConverged(f"values still improve after {done} rounds")
         return state.select(*keys, "id", "value", "parent")
     finally:
-        links.unpersist()
-
-
-def run_select(g: Graph, kernel: SelectKernel, source: int | None = None) -> DataFrame:
+        if links is not None:
+            links.unpersist()
+        if sparse:
+            edges.unpersist()
+
+
+def _best(kernel: SelectKernel) -> Column:
+    return F.min(F.struct(kernel.key(F.col("value")).alias("_key"), "round", "parent", "value")).alias("_best")
+
+
+def reduced(rows: DataFrame, kernel: SelectKernel, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The best row (value, round, parent) of each vertex."""
+    return rows.groupBy(*keys, "id").agg(_best(kernel)).select(*keys, "id", "_best.value", "_best.round", "_best.parent")
+
+
+def _whole_rounds(state: DataFrame, links: Links, kernel: SelectKernel, keys: tuple[str, ...], rounds: int, sent: list | None) -> DataFrame:
+    """``rounds`` rounds and a cut. They are numbered from there (0: the frontier, -1: before), so every stretch
+    is the same plan and its generated code is compiled once."""
+    own, counts = F.col("own"), []
+    for k in range(rounds):
+        met = links.met(state, F.col("round") == k)
+        if sent is not None:
+            counts.append(Observation())
+            met = met.observe(counts[-1], F.coalesce(F.sum((~own).cast("long")), F.lit(0)).alias("n"))
+        value = F.when(own, F.col("value")).otherwise(kernel.extend(F.col("value"), F.col("weight")))
+        rows = met.select(*keys, F.col("dst").alias("id"), value.alias("value"), F.when(own, F.col("round")).otherwise(k + 1).alias("round"), F.when(own, F.col("parent")).otherwise(F.col("src")).alias("parent"))
+        state = reduced(rows, kernel, keys)
+    state = cut(state.withColumn("round", F.when(F.col("round") == rounds, 0).otherwise(-1)))
+    if sent is not None:
+        sent += [c.get["n"] for c in counts]
+    return state
+
+
+def _sparse_rounds(state: DataFrame, front: DataFrame, edges: DataFrame, kernel: SelectKernel, keys: tuple[str, ...], most: int, sent: list | None) -> tuple[DataFrame, int, bool]:
+    """(state, rounds made, whether nothing is left) from rounds that look at the frontier alone."""
+    settled, done = state.withColumn("round", F.lit(-1)), 0
+    while done < most:
+        met = edges.join(F.broadcast(front), F.col("src") == F.col("id"))
+        count = Observation()
+        met = met.observe(count, F.count(F.lit(1)).alias("n"))
+        offers = met.select(*keys, F.col("dst").alias("id"), kernel.extend(F.col("value"), F.col("weight")).alias("value"), F.lit(0).alias("round"), F.col("src").alias("parent"))
+        offers = cut(reduced(offers, kernel, keys))
+        done += 1
+        if sent is not None:
+            sent.append(count.get["n"])
+        n = offers.count()
+        old = settled.join(F.broadcast(offers.select(*keys, "id")), [*keys, "id"], "left_semi") if n <= SPARSE_ROWS else settled
+        better = cut(reduced(old.unionByName(offers), kernel, keys).where("round = 0"))
+        n = better.count()
+        if n == 0:
+            return reduced(settled, kernel, keys), done, True
+        settled = settled.unionByName(better.withColumn("round", F.lit(-1)))
+        front = better.select(*keys, "id", "value")
+        if n > SPARSE_ROWS or done % 8 == 0:
+            settled = cut(reduced(settled, kernel, keys))
+        if n > SPARSE_ROWS:
+            marks = front.select(*keys, "id").withColumn("_f", F.lit(0))
+            marked = settled.join(marks, [*keys, "id"], "left").withColumn("round", F.coalesce("_f", F.lit(-1))).drop("_f")
+            return cut(marked.select(*keys, "id", "value", "round", "parent")), done, False
+    raise NotConverged(f"values still improve after {done} rounds")
+
+
+def run_select(g: Graph, kernel: SelectKernel, source: int | None = None, sparse: bool | None = None, sent: list | None = None) -> DataFrame:
     """(id, value, parent) of the reached vertices."""
-    return select_fixpoint(kernel.start(g, source), g.edges, kernel, ids=g.vertices)
+    return select_fixpoint(kernel.start(g, source), g.edges, kernel, ids=g.vertices, sparse=sparse, sent=sent)
 
 
 def dense(g: Graph, state: DataFrame, kernel: SelectKernel, sentinel: bool = False) -> DataFrame:

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaweave.functions.kernels import BFS, SSSP, SelectKernel, SumKernel
 from deltaweave.operators.accessors import labelled
+from deltaweave.operators.components import components
 from deltaweave.operators.fixpoint import Rounds, select_fixpoint, sum_fixpoint
+from deltaweave.operators.incremental import update_select
+from deltaweave.operators.updates import updated
 from deltaweave.session import cut
 from deltaweave.sources.graph import Graph
 
@@ -164,47 +167,236 @@ def skeleton_edges(g: Graph, clusters: DataFrame, kernel: SelectKernel, source:
     return jumps.unionByName(outside.select("src", "dst", "weight", F.lit("edge").alias("kind")))
 
 
-def skeleton_select(g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int | None) -> DataFrame:
-    """(id, value) as the plain run gives them: iterate on the skeleton, then fill in the interiors."""
-    if kernel.own:
-        raise ValueError("kernels that start everywhere have no single source; run them plainly")
-    if kernel is BFS:  # hops are paths of unit weights; a shortcut counts for several
+def reverse_shortcuts(cuts: DataFrame) -> DataFrame:
+    """(target, entry, ...) of every shortcut: which entries reach a vertex inside its cluster."""
+    return cuts.select("target", "entry", *[c for c in cuts.columns if c not in ("target", "entry")])
+
+
+def save_shortcuts(cuts: DataFrame, path: str) -> None:
+    """Shortcuts as Parquet, so that a later run need not build them."""
+    cuts.write.mode("overwrite").parquet(path)
+
+
+def load_shortcuts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_skeleton(skeleton: DataFrame, path: str) -> None:
+    """``src dst weight kind`` lines."""
+    skeleton.select(F.concat_ws(" ", "src", "dst", "weight", "kind").alias("value")).write.mode("overwrite").text(path)
+
+
+# --- mirrors -----------------------------------------------------------------------------------------
+
+
+def chosen_mirrors(g: Graph, clusters: DataFrame, k: int) -> DataFrame:
+    """(cluster, id, side, mirror): the mirrors of ``mirror_choice``, with an id of their own below 0.
+
+    A mirror's id comes from its vertex, cluster and side, so it is the same in every run.
+    """
+    width = max(x or 0 for r in (g.vertices.agg(F.max("id")), clusters.agg(F.max("cluster"))) for x in r.first()) + 1
+    if width > 1_500_000_000:
+        raise ValueError("ids are too large to number mirrors")
+    choice = mirror_choice(g, clusters, k).where("mirrors <> 'none'").select("cluster", "mirrors")
+    found = mirror_candidates(g, clusters, k).join(choice, "cluster").where("mirrors in (side, 'both')")
+    return found.select("cluster", "id", "side", (-1 - (F.col("id") * width + F.col("cluster")) * 2 - (F.col("side") == "out").cast("long")).alias("mirror"))
+
+
+def with_mirrors(edges: DataFrame, clusters: DataFrame, mirrors: DataFrame, value: str, unit) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, value) and clusters in which mirrors take part.
+
+    The edges of a vertex into a cluster where it has an in-mirror start at that mirror, inside the
+    cluster, and one edge of value ``unit`` leads from the vertex to it; out-mirrors likewise at the end.
+    """
+    into = mirrors.where("side = 'in'").select(F.col("id").alias("src"), F.col("cluster").alias("dst_label"), F.col("mirror").alias("_in"))
+    out = mirrors.where("side = 'out'").select(F.col("id").alias("dst"), F.col("cluster").alias("src_label"), F.col("mirror").alias("_out"))
+    e = labelled(edges, _labels(clusters)).join(into, ["src", "dst_label"], "left").join(out, ["dst", "src_label"], "left")
+    moved = e.select(F.coalesce("_in", "src").alias("src"), F.when(F.col("_in").isNull(), F.coalesce("_out", "dst")).otherwise(F.col("dst")).alias("dst"), value)
+    sides = F.when(F.col("side") == "in", F.struct(F.col("id").alias("src"), F.col("mirror").alias("dst"))).otherwise(F.struct(F.col("mirror").alias("src"), F.col("id").alias("dst")))
+    sync = mirrors.select(sides.alias("s")).select("s.src", "s.dst", F.lit(unit).cast(dict(edges.dtypes)[value]).alias(value))
+    return moved.unionByName(sync), clusters.select("id", "cluster").unionByName(mirrors.select(F.col("mirror").alias("id"), "cluster"))
+
+
+def _mirrored(g: Graph, clusters: DataFrame, kernel: SelectKernel, k: int) -> tuple[Graph, DataFrame]:
+    mirrors = cut(chosen_mirrors(g, clusters, k))
+    edges, clusters = with_mirrors(g.edges, clusters, mirrors, "weight", 0 if kernel.least else kernel.origin)
+    vertices = g.vertices.select("id").unionByName(mirrors.select(F.col("mirror").alias("id")))
+    return Graph(cut(vertices), cut(edges), g.directed), cut(clusters)
+
+
+# --- select kernels on the skeleton ------------------------------------------------------------------
+
+
+class SelectSkeleton:
+    """A select kernel's result by iteration on the skeleton, kept up to date batch by batch.
+
+    Shortcuts are built once; a batch builds those of touched clusters anew. The skeleton's own edges
+    before and after are compared, and the values on it are repaired as on any graph.
+    """
+
+    def __init__(self, g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int, shortcuts: DataFrame | None = None) -> None:
+        if kernel.own:
+            raise ValueError("kernels that start everywhere have no single source; see skeleton_components")
+        self.unit = kernel is BFS  # hops are paths of unit weights; a shortcut counts for several
+        self.kernel, self.source, self.clusters = SSSP if self.unit else kernel, source, clusters
+        self.graph = self._weighted(g)
+        self.cuts = cut(shortcuts if shortcuts is not None else self._build(self.graph, clusters, None))
+        self.edges = cut(self._skeleton())
+        self.outer = select_fixpoint(self.kernel.start(self.graph, source), self.edges, self.kernel, ids=g.vertices)
+
+    def _weighted(self, g: Graph) -> Graph:
+        return replace(g, edges=g.edges.withColumn("weight", F.lit(1).cast("long"))) if self.unit else g
+
+    def _build(self, g: Graph, clusters: DataFrame, only: DataFrame | None) -> DataFrame:
+        return select_shortcuts(g, clusters, self.kernel, self.source, only)
+
+    def _skeleton(self) -> DataFrame:
+        best = F.min("weight") if self.kernel.least else F.max("weight")
+        found = skeleton_edges(self.graph, self.clusters, self.kernel, self.source, self.cuts)
+        return found.groupBy("src", "dst").agg(best.alias("weight"))
+
+    def update(self, updates: DataFrame) -> None:
+        after, changes = updated(self.graph, updates.withColumn("weight", F.lit(1).cast("long")) if self.unit else updates)
+        self.graph = Graph(after.vertices, cut(after.edges), after.directed)
+        self.cuts = cut(refresh_shortcuts(self.cuts, self.graph, self.clusters, changes, self._build))
+        old, self.edges = self.edges, cut(self._skeleton())
+        was = old.withColumnRenamed("weight", "_was")
+        moved = self.edges.join(was, ["src", "dst"], "full_outer").where("not weight <=> _was")
+        batch = moved.select(F.when(F.col("weight").isNull(), "d").otherwise("a").alias("op"), "src", "dst", "weight")
+        _, self.outer = update_select(Graph(self.graph.vertices, old), self.outer, batch, self.kernel, self.source)
+
+    def values(self) -> DataFrame:
+        """(id, value) of reached vertices: the skeleton's, and the interiors' from it."""
+        inner = self.outer.select(F.col("id").alias("entry"), F.col("value").alias("_v")).join(self.cuts, "entry")
+        filled = inner.select(F.col("target").alias("id"), self.kernel.extend(F.col("_v"), F.col("dist")).alias("value"))
+        best = F.min("value") if self.kernel.least else F.max("value")
+        return self.outer.select("id", "value").unionByName(filled).groupBy("id").agg(best.alias("value"))
+
+
+def skeleton_select(g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int | None, mirror_k: int | None = None) -> DataFrame:
+    """(id, value) as the plain run gives them: iterate on the skeleton, then fill in the interiors. ``mirror_k`` allows mirrors."""
+    if mirror_k is None:
+        return SelectSkeleton(g, clusters, kernel, source).values()
+    if kernel is BFS:
         g, kernel = replace(g, edges=g.edges.withColumn("weight", F.lit(1).cast("long"))), SSSP
-    cuts = cut(select_shortcuts(g, clusters, kernel, source))
-    outer = select_fixpoint(kernel.start(g, source), skeleton_edges(g, clusters, kernel, source, cuts).select("src", "dst", "weight"), kernel, ids=g.vertices)
-    inner = outer.select(F.col("id").alias("entry"), F.col("value").alias("_v")).join(cuts, "entry")
-    filled = inner.select(F.col("target").alias("id"), kernel.extend(F.col("_v"), F.col("dist")).alias("value"))
-    best = F.min("value") if kernel.least else F.max("value")
-    return outer.select("id", "value").unionByName(filled).groupBy("id").agg(best.alias("value"))
+    more, members = _mirrored(g, clusters, kernel, mirror_k)
+    return SelectSkeleton(more, members, kernel, source).values().where("id >= 0")
+
+
+def skeleton_components(g: Graph, clusters: DataFrame) -> DataFrame:
+    """(id, value): least id of each component. Shortcuts join what is connected inside a cluster; the skeleton is the edges between."""
+    inside, outside = _split(g.edges, clusters)
+    ends = [F.col("src").alias("a"), F.col("dst").alias("b")]
+    local = cut(components(inside.select(*ends)).select(F.col("node").alias("id"), "root"))
+    a, b = (local.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in ("a", "b"))
+    between = outside.select(*ends).join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    whole = components(between).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    found = g.vertices.join(local, "id", "left").withColumn("_l", F.coalesce("root", "id"))
+    return found.join(whole, F.col("_l") == F.col("_n"), "left").select("id", F.coalesce("_r", "_l").alias("value"))
+
 
+# --- sum kernels on the skeleton ---------------------------------------------------------------------
 
-def skeleton_sum(g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds) -> DataFrame:
-    """(id, value) as the plain run converges to.
+
+class SumSkeleton:
+    """A sum kernel's result by iteration on the skeleton, kept up to date batch by batch.
 
     Initial deltas converge inside clusters first and go out once. Then a round takes what entries
     have received over shortcuts to exits and from there over outside edges; entries only total what
-    they receive. At last the totals times the shortcuts give every value.
+    they receive. At last the totals times the shortcuts give every value. After a batch the inside
+    phase and the shortcuts of touched clusters are computed anew; totals take back what they sent over
+    the skeleton's old edges and send it over the new ones.
+    """
+
+    def __init__(self, g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None) -> None:
+        self.kernel, self.how, self.graph, self.n = kernel, how, g, g.vertices.count()
+        self.given, self.mirrors = clusters, cut(chosen_mirrors(g, clusters, mirror_k)) if mirror_k is not None else None
+        self._load(g)
+        self.first = cut(self._first(None))
+        self.cuts = cut(self._shortcuts(None))
+        self.hops, self.sent = cut(self._hops()), cut(self._sent())
+        self.totals = sum_fixpoint(self.sent.select("id", F.lit(0.0).alias("value"), "delta"), self.hops, self.n, how)
+
+    def _load(self, g: Graph) -> None:
+        factors = self.kernel.factors(g.edges)
+        self.vertices, self.clusters = g.vertices, self.given
+        if self.mirrors is not None:
+            factors, self.clusters = with_mirrors(factors, self.given, self.mirrors, "factor", 1.0)
+            self.vertices = g.vertices.select("id").unionByName(self.mirrors.select(F.col("mirror").alias("id")))
+        factors = cut(factors.select("src", "dst", "factor"))
+        inside, outside = _split(factors, self.clusters)
+        self.inside, self.outside = cut(inside.select("src", "dst", "factor")), cut(outside.select("src", "dst", "factor"))
+        self.all = Graph(self.vertices, factors.withColumnRenamed("factor", "weight"))
+
+    def _first(self, only: DataFrame | None) -> DataFrame:
+        start = self.kernel.start(self.graph, self.n)
+        start = start if only is None else start.join(self.given.join(only, "cluster", "left_semi").select("id"), "id", "left_semi")
+        done = sum_fixpoint(start, self.inside, self.n, self.how, ids=self.vertices)
+        return done.select("id", (F.col("value") + F.col("delta")).alias("value")).where("value <> 0")
+
+    def _shortcuts(self, only: DataFrame | None) -> DataFrame:
+        start = _entries(self.all, self.clusters).select("cluster", "entry", F.col("entry").alias("id"), F.lit(0.0).alias("value"), F.lit(1.0).alias("delta"))
+        start = start if only is None else start.join(only, "cluster", "left_semi")
+        done = sum_fixpoint(start, self.inside, 1, self.how, ("cluster", "entry"))
+        return done.select("cluster", "entry", F.col("id").alias("target"), (F.col("value") + F.col("delta")).alias("factor")).where("factor <> 0")
+
+    def _all_cuts(self) -> DataFrame:
+        own = self.vertices.join(self.clusters, "id", "left_anti").select(F.lit(None).cast("long").alias("cluster"), F.col("id").alias("entry"), F.col("id").alias("target"), F.lit(1.0).alias("factor"))
+        return self.cuts.unionByName(own)
+
+    def _hops(self) -> DataFrame:
+        out = self.outside.select("src").distinct()
+        jumps = self._all_cuts().join(out, F.col("target") == F.col("src"), "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("mid"), F.col("factor").alias("f1"))
+        return jumps.join(self.outside.select(F.col("src").alias("mid"), "dst", "factor"), "mid").groupBy("src", "dst").agg(F.sum(F.col("f1") * F.col("factor")).alias("factor"))
+
+    def _sent(self) -> DataFrame:
+        return self.first.join(self.outside, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("factor")).alias("delta"))
+
+    def update(self, updates: DataFrame) -> None:
+        after, changes = updated(self.graph, updates)
+        touched = touched_clusters(self.given, changes)
+        if self.mirrors is not None:  # a changed normaliser reaches the clusters where its vertex has an in-mirror
+            far = self.mirrors.where("side = 'in'").join(changes.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("cluster")
+            touched = touched.unionByName(far).distinct()
+        touched = cut(touched)
+        self.graph = Graph(after.vertices, cut(after.edges), after.directed)
+        self._load(self.graph)
+        redone = self.clusters.join(touched, "cluster", "left_semi").select("id")
+        self.first = cut(self.first.join(redone, "id", "left_anti").unionByName(self._first(touched)))
+        self.cuts = cut(self.cuts.join(touched, "cluster", "left_anti").unionByName(self._shortcuts(touched)))
+        old_hops, old_sent = self.hops, self.sent
+        self.hops, self.sent = cut(self._hops()), cut(self._sent())
+        sender = self.totals.select(F.col("id").alias("src"), "value")
+        moved = self.hops.unionByName(old_hops.withColumn("factor", -F.col("factor"))).groupBy("src", "dst").agg(F.sum("factor").alias("factor")).where("factor <> 0")
+        again = moved.join(sender, "src").select(F.col("dst").alias("id"), (F.col("value") * F.col("factor")).alias("delta"))
+        deltas = again.unionByName(self.sent).unionByName(old_sent.withColumn("delta", -F.col("delta"))).withColumn("value", F.lit(0.0))
+        state = self.totals.select("id", "value", "delta").unionByName(deltas.select("id", "value", "delta")).groupBy("id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
+        self.totals = sum_fixpoint(cut(state), self.hops, self.n, self.how)
+
+    def values(self) -> DataFrame:
+        """(id, value) of all vertices, 0 where nothing arrives."""
+        totals = self.totals.select(F.col("id").alias("entry"), (F.col("value") + F.col("delta")).alias("total"))
+        filled = totals.join(self._all_cuts(), "entry").select(F.col("target").alias("id"), (F.col("total") * F.col("factor")).alias("value"))
+        parts = self.first.unionByName(filled).unionByName(self.graph.vertices.select("id", F.lit(0.0).alias("value")))
+        return cut(parts.where("id >= 0").groupBy("id").agg(F.sum("value").alias("value")))
+
+
+def skeleton_sum(g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None) -> DataFrame:
+    """(id, value) as the plain run converges to. ``mirror_k`` allows mirrors."""
+    return SumSkeleton(g, clusters, kernel, how, mirror_k).values()
+
+
+def finish_sum(g: Graph, values: DataFrame, kernel: SumKernel, how: Rounds) -> DataFrame:
+    """(id, value, delta): plain iteration from ``values`` (id, value) until the threshold of ``how``.
+
+    The pending deltas are what a round would change: what a vertex starts with and receives, less what it has.
     """
     n = g.vertices.count()
     factors = kernel.factors(g.edges)
-    inside, outside = _split(factors, clusters)
-    inside, outside = inside.select("src", "dst", "factor").persist(), outside.select("src", "dst", "factor").persist()
-    try:
-        first = sum_fixpoint(kernel.start(g, n), inside, n, how).select("id", (F.col("value") + F.col("delta")).alias("value"))
-        first = cut(first)
-        own = g.vertices.join(clusters, "id", "left_anti").select(F.lit(None).cast("long").alias("cluster"), F.col("id").alias("entry"), F.col("id").alias("target"), F.lit(1.0).alias("factor"))
-        cuts = cut(sum_shortcuts(g, clusters, kernel, how).unionByName(own))
-        out = outside.select("src").distinct()
-        jumps = cuts.join(out, F.col("target") == F.col("src"), "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("mid"), F.col("factor").alias("f1"))
-        hops = jumps.join(outside.select(F.col("src").alias("mid"), "dst", "factor"), "mid").groupBy("src", "dst").agg(F.sum(F.col("f1") * F.col("factor")).alias("factor"))
-        hops = cut(hops)
-        sent = first.join(outside, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("factor")).alias("delta"))
-        totals = sum_fixpoint(sent.select("id", F.lit(0.0).alias("value"), "delta"), hops, n, how).select(F.col("id").alias("entry"), (F.col("value") + F.col("delta")).alias("total"))
-        filled = totals.join(cuts, "entry").select(F.col("target").alias("id"), (F.col("total") * F.col("factor")).alias("value"))
-        return cut(first.unionByName(filled).groupBy("id").agg(F.sum("value").alias("value")))
-    finally:
-        inside.unpersist()
-        outside.unpersist()
+    sent = values.join(factors, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(0.0).alias("value"), (F.col("value") * F.col("factor")).alias("delta"))
+    own = values.select("id", "value", (-F.col("value")).alias("delta"))
+    state = kernel.start(g, n).unionByName(own).unionByName(sent).groupBy("id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
+    return sum_fixpoint(cut(state), factors, n, how, ids=g.vertices)
 
 
 def compression_stats(g: Graph, clusters: DataFrame, bin_width: int = 500) -> DataFrame:

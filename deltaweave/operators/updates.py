@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.session import cut
 from deltaweave.sources.graph import Graph, reverse
 
 PAIR = ["src", "dst"]
@@ -43,18 +44,29 @@ def apply_updates(g: Graph, updates: DataFrame) -> Graph:
     return replace(g, edges=kept.unionByName(added))
 
 
-def effective(g: Graph, updates: DataFrame) -> DataFrame:
+def effective(g: Graph, updates: DataFrame, normal: bool = False) -> DataFrame:
     """(op, src, dst, weight) rows that change the graph: removed copies ``d`` and added ones ``a``.
 
-    Replacing a pair by the same single edge is no change.
+    Replacing a pair by the same single edge is no change. ``normal`` says that the batch is normalised.
     """
-    u = normalise(updates, g.directed).withColumnRenamed("weight", "new_weight")
+    u = (updates if normal else normalise(updates, g.directed)).withColumnRenamed("weight", "new_weight")
     old = g.edges.groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("weight").alias("old_weight"), F.max("weight").alias("_top"))
     met = u.join(old, PAIR, "left").where("not (op = 'a' and n = 1 and old_weight <=> new_weight)")
     gone = g.edges.join(met.where("n is not null").select(*PAIR), PAIR, "left_semi").select(F.lit("d").alias("op"), "src", "dst", "weight")
     return gone.unionByName(met.where("op = 'a'").select("op", "src", "dst", F.col("new_weight").alias("weight")))
 
 
+def updated(g: Graph, updates: DataFrame, most: int = 500_000) -> tuple[Graph, DataFrame]:
+    """``apply_updates`` and ``effective`` together; a batch counted to be of at most ``most`` pairs is broadcast, so edges aren't shuffled."""
+    u = cut(normalise(updates, g.directed))
+    small = u.count() <= most
+    pairs = F.broadcast(u.select(*PAIR)) if small else u.select(*PAIR)
+    old = cut(g.edges.join(pairs, PAIR, "left_semi"))
+    kept = g.edges.join(pairs, PAIR, "left_anti")
+    added = u.where("op = 'a'").select("src", "dst", "weight")
+    return replace(g, edges=kept.unionByName(added)), cut(effective(replace(g, edges=old), u, normal=True))
+
+
 def changed_vertices(updates: DataFrame) -> DataFrame:
     """Distinct targets of deletes."""
     return updates.where("op = 'd'").select(F.col("dst").alias("id")).distinct()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaweave.functions import BFS, CC, SSSP, SSWP, pagerank_kernel, personalised_pagerank_kernel, php_kernel
+from deltaweave.functions import BFS, SSSP, SSWP, pagerank_kernel, personalised_pagerank_kernel, php_kernel
+from deltaweave.operators.components import components
 from deltaweave.operators.fixpoint import Rounds, with_own_rows, dense, run_select, run_sum
 from deltaweave.session import cut
 from deltaweave.sources.graph import Graph
@@ -26,10 +27,14 @@ def sswp(g: Graph, source: int, sentinel: bool = False) -> DataFrame:
 
 
 def connected_components(g: Graph) -> DataFrame:
-    """Least id of each vertex's component; the graph must be undirected."""
+    """(id, value): least id of each vertex's component, in rounds that grow with the logarithm of its size.
+
+    The graph must be undirected. ``run_select(g, CC)`` gives parents too, which repairs need.
+    """
     if g.directed:
         raise ValueError("connected components need an undirected graph")
-    return run_select(g, CC)
+    roots = components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return g.vertices.join(roots, g.vertices["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("value"))
 
 
 def pagerank(g: Graph, how: Rounds, damping: float = 0.85) -> DataFrame:
@@ -64,7 +69,7 @@ def _moved(tolerance: float) -> Callable[[DataFrame, DataFrame], bool]:
 
     def done(old: DataFrame, new: DataFrame) -> bool:
         moved = new.agg(F.sum(F.abs(F.col("value") - F.col("last")))).first()[0] or 0.0
-        return 0 <= moved < tolerance
+        return 0 < moved < tolerance
 
     return done
 
@@ -78,7 +83,7 @@ def php_fixed_rounds(g: Graph, source: int, rounds: int = 10, damping: float = 0
     own, fresh = F.col("own"), F.when(F.col("id") == source, 1.0).otherwise(0.0)
 
     def step(state: DataFrame) -> DataFrame:
-        met = state.join(links, F.col("id") == F.col("src"))
+        met = links.met(state, F.lit(True))
         rows = met.select(F.col("dst").alias("id"), F.when(own, fresh).otherwise(F.col("value") * F.col("factor")).alias("value"), F.when(own, F.col("value")).otherwise(0.0).alias("last"))
         return rows.groupBy("id").agg(F.sum("value").alias("value"), F.sum("last").alias("last"))
 
@@ -100,7 +105,7 @@ def pagerank_with_sinks(g: Graph, rounds: int = 10, damping: float = 0.85, toler
     def step(state: DataFrame) -> DataFrame:
         # the sum over sinks is one number for each round; the state is cut, so asking for it is cheap
         spread = state.agg(F.sum(F.when(F.col("sink"), F.col("last")))).first()[0] or 0.0
-        met = state.join(links, F.col("id") == F.col("src"))
+        met = links.met(state, F.lit(True))
         value = F.when(own, F.lit((1 - damping + damping * spread) / n)).otherwise(F.col("value") * F.col("factor"))
         rows = met.select(F.col("dst").alias("id"), (own & F.col("sink")).alias("sink"), value.alias("value"), F.when(own, F.col("value")).otherwise(0.0).alias("last"))
         return rows.groupBy("id").agg(F.max("sink").alias("sink"), F.sum("value").alias("value"), F.sum("last").alias("last"))

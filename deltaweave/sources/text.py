@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,16 @@ from .graph import Graph
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are neither empty nor comments, with their fields ``f``."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")).where("line <> '' and line not like '#%'")
-    return lines.select("line", F.split("line", " ").alias("f"))
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return lines.where("text <> '' and text not like '#%'").select("text", F.split("text", " ").alias("f"), "_file", "_start")
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
+    """With ``line``: what orders lines by their file's name, the part of the file and the row in it.
+
+    Spark packs files into tasks by size, so a row's number alone would not follow the files.
+    """
+    return lines.withColumn("line", F.struct(F.col("_file").alias("file"), F.col("_start").alias("start"), F.monotonically_increasing_id().alias("row"))).drop("_file", "_start")
 
 
 def _number(field: Column, kind: str, mode: str) -> Column:
@@ -44,6 +54,21 @@ def read_graph(spark: SparkSession, efile: str, vfile: str | None = None, direct
     return g.validate() if vertices is not None else g
 
 
+def cached_graph(spark: SparkSession, cache: str, efile: str, vfile: str | None = None, directed: bool = True, weight_type: str = "long") -> Graph:
+    """``read_graph`` with a cache in the folder ``cache``: Parquet under a key of the files, their change times and the options."""
+    stamps = [f"{p}:{_stamp(spark, p)}" for p in (efile, vfile or "") if p]
+    path = f"{cache.rstrip('/')}/{hashlib.sha256('|'.join([*stamps, str(directed), weight_type]).encode()).hexdigest()}"
+    if not _exists(spark, f"{path}/edges/_SUCCESS"):
+        read_graph(spark, efile, vfile, directed, weight_type).save(path)
+    return Graph.load(spark, path, directed)
+
+
+def _stamp(spark: SparkSession, path: str) -> str:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return ",".join(f"{x.getPath().getName()}@{x.getModificationTime()}#{x.getLen()}" for x in fs.listStatus(target)) if fs.exists(target) else "absent"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -52,9 +77,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_updates(spark: SparkSession, path: str, weight_type: str = "long") -> DataFrame:
     """``a|d src dst [weight]`` lines in their order (``line``); any other operation raises."""
     f = F.col("f")
-    op = F.when(F.get(f, F.lit(0)).isin("a", "d"), F.get(f, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("unknown update: "), F.col("line"))).cast("string"))
+    op = F.when(F.get(f, F.lit(0)).isin("a", "d"), F.get(f, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("unknown update: "), F.col("text"))).cast("string"))
     number = [_number(F.get(f, F.lit(k)), t, "FAILFAST").alias(n) for k, t, n in ((1, "long", "src"), (2, "long", "dst"), (3, weight_type, "weight"))]
-    return _lines(spark, path).select(op.alias("op"), *number, F.monotonically_increasing_id().alias("line"))
+    return _in_order(_lines(spark, path)).select(op.alias("op"), *number, "line")
 
 
 def read_clusters(spark: SparkSession, path: str, min_size: int = 1) -> DataFrame:
@@ -65,7 +90,7 @@ def read_clusters(spark: SparkSession, path: str, min_size: int = 1) -> DataFram
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate format: ``%`` comments, a line of sizes, then ``row col [value]``."""
-    rows = _lines(spark, path).where("line not like '\\%%'").withColumn("at", F.monotonically_increasing_id())
+    rows = _in_order(_lines(spark, path).where("text not like '\\%%'")).withColumnRenamed("line", "at")
     head = rows.agg(F.min("at").alias("first"))
     body = rows.join(F.broadcast(head), F.col("at") > F.col("first"))
     return body.select(F.get("f", F.lit(0)).cast("long").alias("src"), F.get("f", F.lit(1)).cast("long").alias("dst"), F.coalesce(F.get("f", F.lit(2)).try_cast("double"), F.lit(1.0)).alias("weight"))
@@ -78,7 +103,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
 
 def read_temporal_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``src dst op ...`` lines: op 2 is the base graph, 1 a delete, 4 an add. The last update of a pair wins."""
-    rows = _lines(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("src"), F.get("f", F.lit(1)).cast("long").alias("dst"), F.get("f", F.lit(2)).cast("int").alias("code"), F.monotonically_increasing_id().alias("line"))
+    rows = _in_order(_lines(spark, path)).select(F.get("f", F.lit(0)).cast("long").alias("src"), F.get("f", F.lit(1)).cast("long").alias("dst"), F.get("f", F.lit(2)).cast("int").alias("code"), "line")
     base = rows.where("code = 2").select("src", "dst").distinct().withColumn("weight", F.lit(1).cast("long"))
     last = rows.where("code in (1, 4)").groupBy("src", "dst").agg(F.max_by("code", "line").alias("code"))
     return base, last.select(F.when(F.col("code") == 4, "a").otherwise("d").alias("op"), "src", "dst", F.lit(1).cast("long").alias("weight"))
