@@ -224,8 +224,9 @@ def cluster_benefit(spark, sf_dir):
 
 
 def cluster_admission(spark, sf_dir):
+    """Clusters of four with a benefit over that of four entries, four exits and nothing inside."""
     g = customer_chain(spark, sf_dir)
-    return summarize.admit(g, _clusters(g), -2400, 40)
+    return summarize.admit(g, g.vertices.select("id", F.expr("id div 4").alias("cluster")), -16, 2)
 
 
 def mirror_candidates(spark, sf_dir):
@@ -313,7 +314,9 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    from deltaweave import catalog_more
+
+    return {f.__name__: f for f in (*QUERIES, *catalog_more.QUERIES)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------
@@ -437,6 +440,13 @@ UNION ALL SELECT src, dst, weight, 'edge' FROM o WHERE a <> b"""
 
 
 def oracle_sql() -> dict[str, str]:
+    from deltaweave import catalog_more
+
+    found = _oracle_sql()
+    return found | catalog_more.oracle_sql(found)
+
+
+def _oracle_sql() -> dict[str, str]:
     plain, after, after_u = _selects(G, "g"), _selects(G + _applied("g"), "h"), _cc_sql(GU + _applied("u", True), "h")
     value, both = "round(value, 9) AS value", "round(value, 9) AS value, round(delta, 9) AS delta"
     start = f"CASE WHEN id = {SOURCE} THEN 1.0 ELSE 0.0 END"
@@ -467,7 +477,7 @@ p AS MATERIALIZED (SELECT g.dst AS id, min(g.src) AS parent FROM g JOIN s a ON a
 x AS MATERIALIZED (SELECT src, dst FROM g WHERE (src, dst) NOT IN (SELECT (src, dst) FROM h) OR (src, dst) IN (SELECT (g2.src, g2.dst) FROM g g2 JOIN h USING (src, dst) WHERE g2.weight <> h.weight)),
 t(id) AS (SELECT p.id FROM p JOIN x ON x.src = p.parent AND x.dst = p.id UNION SELECT p.id FROM t JOIN p ON p.parent = t.id) SELECT id FROM t""",
         "cluster_entry_exit": f"WITH {L} {ENDS}", "cluster_benefit": f"WITH {L} {BENEFIT}",
-        "cluster_admission": f"WITH {L} SELECT id, label AS cluster FROM l WHERE label IN (SELECT cluster FROM ({BENEFIT}) WHERE benefit > -2400 AND n_members >= 40)",
+        "cluster_admission": f"WITH {L.replace(f'id // {CLUSTER}', 'id // 4')} SELECT id, label AS cluster FROM l WHERE label IN (SELECT cluster FROM ({BENEFIT}) WHERE benefit > -16 AND n_members >= 2)",
         "mirror_candidates": f"WITH {L} {MIRRORS}", "mirror_choice": _choice_sql(),
         "node_types": f"""WITH {G}, l AS MATERIALIZED (SELECT id, id // {CLUSTER} AS label FROM v WHERE (id // {CLUSTER}) % 3 <> 0),
 o AS MATERIALIZED (SELECT g.*, coalesce(a.label, -1) AS a, coalesce(b.label, -1) AS b FROM g LEFT JOIN l a ON a.id = g.src LEFT JOIN l b ON b.id = g.dst), x AS ({ENDS})
@@ -475,7 +485,9 @@ SELECT v.id, CASE WHEN x.id IS NULL THEN 'Single' WHEN is_entry AND is_exit THEN
         "compression_stats": f"WITH {L} SELECT n_members // 10 AS bin, count(*) AS n_clusters, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("n_members", "n_inner", "n_entry", "n_exit")) + f" FROM ({BENEFIT}) GROUP BY bin",
         "skeleton_edges": _skeleton_edges_sql(), "skeleton_bfs": plain["bfs"], "skeleton_sssp": plain["sssp"], "skeleton_sswp": plain["sswp"],
         "skeleton_pagerank": _sum_sql(G, _degree_factors("g", FAST), f"{1 - FAST} / n", 60, "round(value, 6) AS value"),
-        "split_updates": f"WITH {G} SELECT src, dst, weight, CASE WHEN c <= 2 THEN 'base' WHEN t < {half} THEN 'add' WHEN t < {2 * half} THEN 'delete' ELSE 'base' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY src) AS c, {TICKET} AS t FROM g)",
+        "split_updates": f"""WITH {G}, t AS (SELECT *, count(*) OVER (PARTITION BY src) AS n, {TICKET} AS t FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY src, t < {2 * half} ORDER BY t, dst, weight) AS k FROM t)
+SELECT src, dst, weight, CASE WHEN t >= {2 * half} OR k > n - greatest(2, ceil(n * 0.2)) THEN 'base' WHEN t < {half} THEN 'add' ELSE 'delete' END AS part FROM r""",
         "reweight": f"WITH {G}, c AS (SELECT * FROM g WHERE {TICKET} < {int(0.05 * datagen.MODULUS)}) SELECT 'd' AS op, src, dst, weight FROM c UNION ALL SELECT 'a', src, dst, (weight * 7 + src + dst) % 64 + 1 FROM c",
         "enlarge": f"WITH {G}, w AS (SELECT max(greatest(src, dst)) + 1 AS w FROM g) SELECT src + k * w AS src, dst + k * w AS dst, weight FROM g, w, range(3) t(k) UNION ALL SELECT 0, k * w, 1 FROM w, range(1, 3) t(k)",
         "relabel": "WITH w AS MATERIALIZED (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM w UNION ALL SELECT b, a FROM w), d AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)) SELECT x.k AS src, y.k AS dst, CAST(1 AS BIGINT) AS weight FROM e JOIN d x ON x.id = e.src JOIN d y ON y.id = e.dst",

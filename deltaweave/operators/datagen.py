@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaweave.session import cut
 from deltaweave.sources.graph import endpoints
 from deltaweave.sources.tables import dense_rank_in_order
 
@@ -59,8 +60,9 @@ def by_first_appearance(lines: DataFrame) -> DataFrame:
 
 def generate(lines: DataFrame, share: float, top: int = 64, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A data set from raw numbered lines: ids by first appearance, random weights, no sinks; base edges, updates, updated edges."""
-    edges = random_weights(close_sinks(by_first_appearance(lines).select("src", "dst", "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight")), top, seed)
-    return split_graphs(split_updates(edges, share, seed))
+    named = cut(by_first_appearance(cut(lines)).select("src", "dst", "weight"))
+    edges = random_weights(close_sinks(named).groupBy("src", "dst").agg(F.min("weight").alias("weight")), top, seed)
+    return split_graphs(cut(split_updates(cut(edges), share, seed)))
 
 
 def vertex_order(clusters: DataFrame) -> DataFrame:

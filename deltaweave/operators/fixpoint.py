@@ -30,7 +30,7 @@ class NotConverged(RuntimeError):
 
 @dataclass(frozen=True)
 class Rounds:
-    """How far to go: a fixed number of rounds, or until the pending deltas sum to less than ``threshold``.
+    """How far to go: a fixed number of rounds, or until the pending deltas sum to less than ``threshold`` (for each key, if there are keys).
 
     A run to a threshold that needs more than ``most`` rounds raises.
     """
@@ -106,7 +106,8 @@ def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys
     is the same. A run to a threshold is checked at each cut, and raises if it doesn't get there.
     """
     done, most, left = 0, how.rounds if how.rounds is not None else how.most, None
-    least = 0.0 if how.rounds is not None else how.threshold / max(n, 1) * 1e-3
+    # what may stay pending for ever must be far less than the threshold in all
+    least = 0.0 if how.rounds is not None or keys else how.threshold / max(n, 1) * 1e-3
     links = with_own_rows(factors, ids if ids is not None else state.select("id").unionByName(factors.select(F.col("dst").alias("id"))).distinct(), "factor")
     try:
         while done < most:
@@ -119,7 +120,8 @@ def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys
                 done += 1
             state = cut(state)
             if how.rounds is None:
-                left = state.agg(F.sum(F.abs("delta"))).first()[0] or 0.0
+                pending = state.groupBy(*keys).agg(F.sum(F.abs("delta")).alias("d"))
+                left = pending.agg(F.max("d")).first()[0] or 0.0
                 if left < how.threshold:
                     return state
         if how.rounds is None:

@@ -189,16 +189,18 @@ def write_skeleton(skeleton: DataFrame, path: str) -> None:
 # --- mirrors -----------------------------------------------------------------------------------------
 
 
-def chosen_mirrors(g: Graph, clusters: DataFrame, k: int) -> DataFrame:
-    """(cluster, id, side, mirror): the mirrors of ``mirror_choice``, with an id of their own below 0.
+def chosen_mirrors(g: Graph, clusters: DataFrame, k: int, every: bool = False) -> DataFrame:
+    """(cluster, id, side, mirror): the mirrors of ``mirror_choice``, or ``every`` candidate, with an id of their own below 0.
 
     A mirror's id comes from its vertex, cluster and side, so it is the same in every run.
     """
     width = max(x or 0 for r in (g.vertices.agg(F.max("id")), clusters.agg(F.max("cluster"))) for x in r.first()) + 1
     if width > 1_500_000_000:
         raise ValueError("ids are too large to number mirrors")
-    choice = mirror_choice(g, clusters, k).where("mirrors <> 'none'").select("cluster", "mirrors")
-    found = mirror_candidates(g, clusters, k).join(choice, "cluster").where("mirrors in (side, 'both')")
+    found = mirror_candidates(g, clusters, k)
+    if not every:
+        choice = mirror_choice(g, clusters, k).where("mirrors <> 'none'").select("cluster", "mirrors")
+        found = found.join(choice, "cluster").where("mirrors in (side, 'both')")
     return found.select("cluster", "id", "side", (-1 - (F.col("id") * width + F.col("cluster")) * 2 - (F.col("side") == "out").cast("long")).alias("mirror"))
 
 
@@ -217,8 +219,8 @@ def with_mirrors(edges: DataFrame, clusters: DataFrame, mirrors: DataFrame, valu
     return moved.unionByName(sync), clusters.select("id", "cluster").unionByName(mirrors.select(F.col("mirror").alias("id"), "cluster"))
 
 
-def _mirrored(g: Graph, clusters: DataFrame, kernel: SelectKernel, k: int) -> tuple[Graph, DataFrame]:
-    mirrors = cut(chosen_mirrors(g, clusters, k))
+def _mirrored(g: Graph, clusters: DataFrame, kernel: SelectKernel, k: int, every: bool) -> tuple[Graph, DataFrame]:
+    mirrors = cut(chosen_mirrors(g, clusters, k, every))
     edges, clusters = with_mirrors(g.edges, clusters, mirrors, "weight", 0 if kernel.least else kernel.origin)
     vertices = g.vertices.select("id").unionByName(mirrors.select(F.col("mirror").alias("id")))
     return Graph(cut(vertices), cut(edges), g.directed), cut(clusters)
@@ -273,13 +275,13 @@ class SelectSkeleton:
         return self.outer.select("id", "value").unionByName(filled).groupBy("id").agg(best.alias("value"))
 
 
-def skeleton_select(g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int | None, mirror_k: int | None = None) -> DataFrame:
+def skeleton_select(g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int | None, mirror_k: int | None = None, every: bool = False) -> DataFrame:
     """(id, value) as the plain run gives them: iterate on the skeleton, then fill in the interiors. ``mirror_k`` allows mirrors."""
     if mirror_k is None:
         return SelectSkeleton(g, clusters, kernel, source).values()
     if kernel is BFS:
         g, kernel = replace(g, edges=g.edges.withColumn("weight", F.lit(1).cast("long"))), SSSP
-    more, members = _mirrored(g, clusters, kernel, mirror_k)
+    more, members = _mirrored(g, clusters, kernel, mirror_k, every)
     return SelectSkeleton(more, members, kernel, source).values().where("id >= 0")
 
 
@@ -308,9 +310,9 @@ class SumSkeleton:
     the skeleton's old edges and send it over the new ones.
     """
 
-    def __init__(self, g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None) -> None:
+    def __init__(self, g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None, every: bool = False) -> None:
         self.kernel, self.how, self.graph, self.n = kernel, how, g, g.vertices.count()
-        self.given, self.mirrors = clusters, cut(chosen_mirrors(g, clusters, mirror_k)) if mirror_k is not None else None
+        self.given, self.mirrors = clusters, cut(chosen_mirrors(g, clusters, mirror_k, every)) if mirror_k is not None else None
         self._load(g)
         self.first = cut(self._first(None))
         self.cuts = cut(self._shortcuts(None))
@@ -381,9 +383,9 @@ class SumSkeleton:
         return cut(parts.where("id >= 0").groupBy("id").agg(F.sum("value").alias("value")))
 
 
-def skeleton_sum(g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None) -> DataFrame:
+def skeleton_sum(g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, mirror_k: int | None = None, every: bool = False) -> DataFrame:
     """(id, value) as the plain run converges to. ``mirror_k`` allows mirrors."""
-    return SumSkeleton(g, clusters, kernel, how, mirror_k).values()
+    return SumSkeleton(g, clusters, kernel, how, mirror_k, every).values()
 
 
 def finish_sum(g: Graph, values: DataFrame, kernel: SumKernel, how: Rounds) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -36,6 +37,26 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is absent."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it isn't installed there (the operators' Python code needs it)."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as made:
+        path = shutil.make_archive(os.path.join(made, os.path.basename(folder)), "zip", os.path.dirname(folder), os.path.basename(folder))
+        spark.sparkContext.addPyFile(path)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaweave.session import exists
+
 from .graph import Graph
 
 
@@ -49,7 +51,7 @@ def read_vertices(spark: SparkSession, path: str, mode: str = "FAILFAST") -> Dat
 
 def read_graph(spark: SparkSession, efile: str, vfile: str | None = None, directed: bool = True, weight_type: str = "long") -> Graph:
     """With an absent or unreadable vertex file the vertices are the endpoints."""
-    vertices = read_vertices(spark, vfile) if vfile and _exists(spark, vfile) else None
+    vertices = read_vertices(spark, vfile) if vfile and exists(spark, vfile) else None
     g = Graph.of(read_edges(spark, efile, weight_type), vertices, directed)
     return g.validate() if vertices is not None else g
 
@@ -58,7 +60,7 @@ def cached_graph(spark: SparkSession, cache: str, efile: str, vfile: str | None
     """``read_graph`` with a cache in the folder ``cache``: Parquet under a key of the files, their change times and the options."""
     stamps = [f"{p}:{_stamp(spark, p)}" for p in (efile, vfile or "") if p]
     path = f"{cache.rstrip('/')}/{hashlib.sha256('|'.join([*stamps, str(directed), weight_type]).encode()).hexdigest()}"
-    if not _exists(spark, f"{path}/edges/_SUCCESS"):
+    if not exists(spark, f"{path}/edges/_SUCCESS"):
         read_graph(spark, efile, vfile, directed, weight_type).save(path)
     return Graph.load(spark, path, directed)
 
@@ -69,11 +71,6 @@ def _stamp(spark: SparkSession, path: str) -> str:
     return ",".join(f"{x.getPath().getName()}@{x.getModificationTime()}#{x.getLen()}" for x in fs.listStatus(target)) if fs.exists(target) else "absent"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_updates(spark: SparkSession, path: str, weight_type: str = "long") -> DataFrame:
     """``a|d src dst [weight]`` lines in their order (``line``); any other operation raises."""
     f = F.col("f")
