@@ -48,7 +48,7 @@ SEED = 20240229
 BLOCK_WORDS = 500_000
 CHUNK_WORDS = 1_500_000
 #: Each item size has steps of its own for all texts at hand, so slices are not small.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 # Blocks of scripts without spaces between words (Thai and Lao, Myanmar, Khmer, kana, ideographs).
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(r"\w+")

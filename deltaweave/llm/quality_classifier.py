@@ -47,7 +47,7 @@ QUANTILE = 0.99
 PRIOR = 1000
 #: A row of the model as workers hold it: an n-gram and the logarithm of a probability or weight.
 ROW_BYTES = 8 + 4
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 500_000
 MAX_MODEL_BYTES = 192 << 20
 MAX_SENT_IDS = 1_000_000
 CHUNK_CHARS = 400_000
@@ -228,11 +228,14 @@ class Shards:
     def __init__(self, spark: SparkSession, table: DataFrame, n: int) -> None:
         self.name, self.parts = uuid.uuid4().hex, []
         for k in range(n):
-            part = table.where(F.pmod("key", F.lit(n)) == k).orderBy("lang", "part", "key").toArrow()
-            names, orders = np.array(part.column("lang").to_pylist(), object), part.column("part").to_numpy()
+            part = table.where(F.pmod("key", F.lit(n)) == k).select("lang", "part", "key", F.col("value").cast("float").alias("value")).orderBy("lang", "part", "key").toArrow()
+            # names as numbers: a million strings would be most of what the driver holds
+            names = part.column("lang").combine_chunks().dictionary_encode()
+            codes, orders = names.indices.to_numpy(zero_copy_only=False), part.column("part").to_numpy()
             keys, values = part.column("key").to_numpy(), part.column("value").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (orders[1:] != orders[:-1])])) if len(keys) else []
-            shard = {(names[a], int(orders[a])): (keys[a:b].copy(), values[a:b].astype(np.float32)) for a, b in zip(cuts, [*cuts[1:], len(keys)])}
+            cuts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (orders[1:] != orders[:-1])])) if len(keys) else []
+            shard = {(names.dictionary[int(codes[a])].as_py(), int(orders[a])): (keys[a:b].copy(), values[a:b].copy()) for a, b in zip(cuts, [*cuts[1:], len(keys)])}
+            del part, names, codes, orders, keys, values
             self.parts.append(spark.sparkContext.broadcast(shard))
 
     def load(self) -> Scorer:
