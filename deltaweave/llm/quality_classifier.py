@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaweave.llm.worker import kept, map_texts
@@ -45,6 +45,8 @@ START, END = 2, 3
 FOLDS = 2
 QUANTILE = 0.99
 PRIOR = 1000
+#: Step of the logarithms of which quantiles are taken.
+GRID = 1e-4
 #: A row of the model as workers hold it: an n-gram and the logarithm of a probability or weight.
 ROW_BYTES = 8 + 4
 SHARD_ROWS = 500_000
@@ -354,12 +356,26 @@ def _of_other_folds(counts: DataFrame) -> DataFrame:
     return rows if FOLDS == 2 else rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def _quantile(rows: DataFrame, value: str, share: float, name: str) -> DataFrame:
+    """(lang, ``name``): the quantile of a language's rows, or the greatest value in its step of ``GRID``.
+
+    Rows are counted by step first, so one task orders no more rows than there are steps, and the
+    result doesn't depend on how the rows are dealt.
+    """
+    steps = rows.groupBy("lang", F.ceil(F.col(value) / GRID).alias("step")).agg(F.count("*").alias("n"), F.max(value).alias("top"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    whole = F.sum("n").over(Window.partitionBy("lang"))
+    reached = steps.withColumn("upto", upto).withColumn("whole", whole).where(F.col("upto") >= F.col("whole") * share)
+    return reached.groupBy("lang").agg(F.min_by("top", "step").alias(name))
+
+
 def limits(held: DataFrame) -> dict[str, tuple[float, float]]:
     """By language: the median and the limit of the excess of trusted documents (lang, x, n); a row for each language."""
-    middle = held.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("m"))
+    middle = _quantile(held, "x", 0.5, "m")
     excess = held.join(F.broadcast(middle), "lang").withColumn("e", (F.col("x") - F.col("m")) * F.sqrt(F.col("n") / (F.col("n") + PRIOR)))
-    own = excess.groupBy("lang", "m").agg(F.percentile_approx("e", QUANTILE, 10_000).alias("limit"), F.max("e").alias("most"), F.count("*").alias("rows")).collect()
-    whole = excess.agg(F.percentile_approx("e", QUANTILE, 10_000)).first()[0] if own else None
+    most = excess.groupBy("lang", "m").agg(F.max("e").alias("most"), F.count("*").alias("rows"))
+    own = most.join(F.broadcast(_quantile(excess, "e", QUANTILE, "limit")), "lang").collect()
+    whole = _quantile(excess.select(F.lit("").alias("lang"), "e"), "e", QUANTILE, "limit").first()["limit"] if own else None
     enough = round(1 / (1 - QUANTILE))
     return {r["lang"]: (r["m"], max(r["limit"] if r["rows"] >= enough else max(r["most"], whole), 0.0)) for r in own}
 

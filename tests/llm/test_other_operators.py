@@ -9,6 +9,7 @@ import re
 import textwrap
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,21 @@ def test_small_languages_have_limits(spark):
     assert quality_classifier.limits(held.limit(0)) == {}
 
 
+def test_limits_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(7)
+    rows = [(str(k % 2), float(x), int(n)) for k, (x, n) in enumerate(zip(rng.normal(2, 1, 40_000), rng.integers(1, 5000, 40_000)))]
+    held = spark.createDataFrame(rows, "lang string, x double, n long")
+    found = quality_classifier.limits(held.repartition(7))
+    assert found == quality_classifier.limits(held.orderBy("x").coalesce(2))
+    step = quality_classifier.GRID
+    for lang in "01":
+        x, n = np.array([r[1:] for r in rows if r[0] == lang]).T
+        m = np.sort(x)[len(x) // 2 - 1]
+        e = np.sort((x - found[lang][0]) * np.sqrt(n / (n + quality_classifier.PRIOR)))
+        assert 0 <= found[lang][0] - m <= 1.001 * step
+        assert 0 <= found[lang][1] - e[int(np.ceil(len(e) * quality_classifier.QUANTILE)) - 1] <= 1.001 * step
+
+
 def test_classifier_rejects_bad_texts_of_all_languages(spark):
     sf = "/root/testdata/sf0.01"
     found = quality_classifier.op2_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").cache()
