@@ -147,6 +147,13 @@ def _discounts(n: list[float]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.01), k) for k in (1, 2, 3))
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A name and numbers a row, given to Spark as Arrow: rows of Python objects would start Python workers of another kind on the executors, which stay."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    kinds = [pa.string()] + [pa.float64()] * (len(names) - 1)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
+
+
 def model(counts: DataFrame) -> DataFrame:
     """(lang, part, key, value): part k holds log probabilities of k-grams, part 10 + k the log weights of their contexts."""
     spark = counts.sparkSession
@@ -162,7 +169,7 @@ def model(counts: DataFrame) -> DataFrame:
         t = tables[k]
         stats = t.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()  # a row for each language
         rows = [(r["lang"], *_discounts([r[f"n{i}"] for i in (1, 2, 3, 4)])) for r in stats]
-        d = F.broadcast(spark.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double")) if rows else spark.createDataFrame([], "lang string, d1 double, d2 double, d3 double")
+        d = F.broadcast(_table(spark, rows, ["lang", "d1", "d2", "d3"]))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(d, "lang").select("lang", "key", "n", F.shiftright("key", BITS).alias("context"), cut.alias("cut"))
         contexts = t.groupBy("lang", "context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed"))
@@ -320,7 +327,7 @@ class Classifier:
         return self._judged(self.scored(docs)).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
     def _judged(self, scored: DataFrame) -> DataFrame:
-        limits = self.spark.createDataFrame([(k, *v) for k, v in self.limits.items()], "_l string, _m double, _limit double")
+        limits = _table(self.spark, [(k, *v) for k, v in self.limits.items()], ["_l", "_m", "_limit"])
         scored = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_l"), "left")
         threshold = F.when(F.col("perplexity").isNotNull(), F.exp(F.col("_m") + F.col("_limit") / F.sqrt(F.col("n") / (F.col("n") + PRIOR))))
         return scored.withColumn("threshold", threshold).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -35,8 +35,11 @@ from deltaweave.llm.worker import kept, map_texts
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MAX_CHUNKS = 200_000
-MAX_WORDS = 600_000
+MAX_CHUNKS = 100_000
+#: Words of either generation of the memo: full, the younger becomes the older, and words met again come back from there.
+MAX_WORDS = 200_000
+#: Marks, by hash, of words and chunks met once: only from the second time on are they kept.
+MARKS = 1 << 21
 MEMO_CHARS = 64
 MAX_PAIRS = 2_000_000
 
@@ -72,6 +75,8 @@ class PrefixTableEncoder:
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.met, self.marked = bytearray(MARKS), 0
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
 
     def _cutter(self) -> re.Pattern:
@@ -187,6 +192,17 @@ class PrefixTableEncoder:
             at = back[at]
         return tuple(reversed(found))
 
+    def _again(self, part: str) -> bool:
+        """Whether the part was met before (or one of the same mark was); notes it."""
+        k = hash(part) % MARKS
+        if self.met[k]:
+            return True
+        if self.marked >= MARKS // 2:
+            self.met, self.marked = bytearray(MARKS), 0
+        self.met[k] = 1
+        self.marked += 1
+        return False
+
     def _cut_encode(self, text: str) -> bytes:
         """Packed ids of a text in which spaces are already written as the model does."""
         parts, chunks = [], self.chunks
@@ -194,7 +210,7 @@ class PrefixTableEncoder:
             ids = chunks.get(chunk)
             if ids is None:
                 ids = np.array(self.encode_chunk(chunk), "<u4").tobytes()
-                if len(chunk) <= MEMO_CHARS:
+                if len(chunk) <= MEMO_CHARS and self._again(chunk):
                     if len(chunks) >= MAX_CHUNKS:
                         chunks.clear()
                     chunks[chunk] = ids
@@ -210,12 +226,17 @@ class PrefixTableEncoder:
         words, parts = self.words, text.split(" ")  # each with one space before it: a cut
         out = [*map(words.get, parts)]
         if None in out:
-            if len(words) >= MAX_WORDS:
-                words.clear()
             for k, ids in enumerate(out):
                 if ids is None:
-                    out[k] = ids = self._cut_encode(SPACE + parts[k])
-                    if len(parts[k]) <= MEMO_CHARS:
+                    ids = self.older.get(parts[k])
+                    old = ids is not None
+                    if not old:
+                        ids = self._cut_encode(SPACE + parts[k])
+                    out[k] = ids
+                    if old or len(parts[k]) <= MEMO_CHARS and self._again(parts[k]):
+                        if len(words) >= MAX_WORDS:
+                            self.words, self.older = {}, words
+                            words = self.words
                         words[parts[k]] = ids
         return self.begin + b"".join(out) + self.end
 

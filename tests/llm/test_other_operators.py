@@ -207,6 +207,16 @@ def test_keep_by_join_drops_rows_not_ids(spark):
     assert not first.where("text = 'zzqx ### ***'").count() and first.where("doc_id is null").count() == 1 and first.where("doc_id = 5").count() == 1
 
 
+def test_classifier_starts_no_other_python_workers(spark, monkeypatch):
+    from pyspark.core.rdd import RDD
+
+    monkeypatch.setattr(RDD, "map", lambda *a, **k: pytest.fail("rows of Python objects"))
+    made = quality_classifier._table(spark, [("0:en", 0.5, 1.0, 1.5)], ["lang", "d1", "d2", "d3"])
+    assert [tuple(r) for r in made.collect()] == [("0:en", 0.5, 1.0, 1.5)]
+    none = quality_classifier._table(spark, [], ["_l", "_m", "_limit"])
+    assert none.dtypes == [("_l", "string"), ("_m", "double"), ("_limit", "double")] and none.isEmpty()
+
+
 def test_classifier_limit_is_a_quantile_of_trusted_texts(spark):
     rows = [(k, "en", " ".join(f"word{(k * 7919 + j * j * (1 + k % 13)) % 97}" for j in range(5 + k % 40))) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")

@@ -282,6 +282,21 @@ def test_pairs():
         assert e.compatible(a, b) == (e.merge(e.pieces[a] + e.pieces[b]) == [a, b])
 
 
+def test_memo_is_bounded_and_loses_nothing(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "MAX_WORDS", 40)
+    monkeypatch.setattr(sentencepiece_bpe, "MAX_CHUNKS", 30)
+    monkeypatch.setattr(sentencepiece_bpe, "MARKS", 128)
+    e, rng = sentencepiece_bpe.PrefixTableEncoder(sentencepiece_bpe.default_model()), random.Random(4)
+    once = " ".join(f"once{k}" for k in range(30))
+    e.encode(once)
+    assert not e.words and not e.chunks  # a word met once isn't kept
+    for _ in range(200):
+        text = " ".join(f"w{int(rng.expovariate(0.02))}," for _ in range(30))
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.sp.encode(text, add_bos=True, add_eos=True)
+        assert len(e.words) <= 40 and len(e.older) <= 40 and len(e.chunks) <= 30
+    assert e.words and e.older
+
+
 def test_op5(spark, sf_dir):
     sp = sentencepiece_bpe.encoder().sp
     texts = sf_documents(spark, sf_dir)
