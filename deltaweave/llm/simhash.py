@@ -39,8 +39,8 @@ SEED = 42
 SHINGLE = 3
 BITS = 2
 CHUNK = 1 << 15
-#: Distinct fingerprints whose 64 variants one task makes; more would be spilled.
-CLASSES_PER_TASK = 16_384
+#: Distinct fingerprints whose 64 variants one task makes and adds up in memory.
+CLASSES_PER_TASK = 4_096
 #: Rows of a few ids (8 bytes each) sent to every executor at most; beyond it a join is shuffled.
 MAX_SENT_IDS = 1_000_000
 #: Copies of a fingerprint from which on its rows aren't shuffled to one task.

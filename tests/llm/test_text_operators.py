@@ -240,6 +240,18 @@ def test_hot_fingerprints_are_sent(spark):
     assert left == {c for _, c in plain_components([(d, plain_fingerprint(t)) for d, t in rows])}
 
 
+def test_variants_of_few_classes_a_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    frame, dealt = type(spark.range(1)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *keys: dealt.append(n) or deal(self, n, *keys))
+    partner = F.when(F.col("id") < 100, F.col("id") % 2).otherwise(0)
+    fps = spark.range(10_000).select(F.xxhash64(F.col("id") - partner).bitwiseXOR(partner).alias("fp"))
+    assert simhash.links(fps).count() == 50
+    assert 10_000 / dealt[0] <= 5_000
+
+
 def test_slices():
     import pyarrow as pa
 
