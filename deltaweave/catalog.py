@@ -14,8 +14,8 @@ from deltaweave.functions import BFS, CC, SSSP, SSWP, pagerank_kernel, php_kerne
 from deltaweave.operators import accessors, datagen, gcn, incremental, summarize, updates
 from deltaweave.operators.fixpoint import Rounds, dense, run_select, run_sum
 from deltaweave.plans import algorithms
-from deltaweave.session import cut
-from deltaweave.sources import Graph, customer_chain, customer_updates, supplier_part
+from deltaweave.session import cut, materialize
+from deltaweave.sources import Graph, customer_chain, customer_updates, kept, supplier_part
 from deltaweave.sources.tables import dense_rank_in_order
 
 SOURCE = 0
@@ -26,14 +26,12 @@ TIGHT = Rounds(threshold=1e-12, most=200)
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> Graph:
-    g = customer_chain(spark, sf_dir)
-    edges = cut(g.edges)  # derived once, read in every round
-    return Graph.of(edges)
+    return kept(customer_chain(spark, sf_dir), ends=True)
 
 
 def _undirected(spark: SparkSession, sf_dir: str) -> Graph:
     g = _chain(spark, sf_dir)
-    return Graph(g.vertices, cut(updates.to_undirected(g.edges)), directed=False)
+    return Graph(g.vertices, materialize(updates.to_undirected(g.edges), "edges"), directed=False)
 
 
 def _batch(g: Graph) -> DataFrame:

@@ -18,7 +18,7 @@ from deltaweave.sources.graph import Graph
 
 @dataclass(frozen=True)
 class SumKernel:
-    """``init(id, n)`` is the initial delta; ``factors(edges)`` gives (src, dst, factor)."""
+    """``init(id, n)`` is the initial delta; ``factors(edges)`` gives (src, dst, factor), where a source's factors come from its own edges alone."""
 
     name: str
     init: Callable[[Column, int], Column]

@@ -19,6 +19,8 @@ from deltaweave.sources.graph import Graph
 MAX_ROUNDS = 1_000_000
 #: Out-edges from which on a vertex is a hub, whose edges are dealt over salts.
 HUB_EDGES = 500_000
+#: Groups of sources that are counted first: only in one with more than HUB_EDGES edges can there be a hub.
+HUB_GROUPS = 1 << 16
 #: Edges from which on a round looks at the frontier alone if that is at most so many rows; smaller graphs are cheaper taken whole.
 SPARSE_EDGES = 20_000_000
 SPARSE_ROWS = 500_000
@@ -67,13 +69,15 @@ class Links:
         self.rows.unpersist()
 
 
-def with_own_rows(edges: DataFrame, ids: DataFrame, value: str, hub_edges: int | None = None) -> Links:
-    """See Links; ``hub_edges`` overrides HUB_EDGES."""
+def with_own_rows(edges: DataFrame, ids: DataFrame, value: str, hub_edges: int | None = None, counted: DataFrame | None = None) -> Links:
+    """See Links; ``hub_edges`` overrides HUB_EDGES. ``counted`` is what hubs are looked for in, if ``edges`` take a join to make: it has all of their sources' edges."""
     most = HUB_EDGES if hub_edges is None else hub_edges
     hubs, salt = None, F.lit(0)
     edges = edges.select("src", "dst", value)
-    if edges.count() > most:  # at most as many hubs as that number divides the edges
-        found = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    counted = (edges if counted is None else counted).select(F.col("src").alias("id"), F.pmod(F.xxhash64("src"), F.lit(HUB_GROUPS)).alias("_g"))
+    full = [r[0] for r in counted.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("_g").collect()]
+    if full:  # at most as many hubs as that number divides the edges
+        found = counted.where(F.col("_g").isin(full)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most)
         found = cut(found.select("id", F.ceil(F.col("n") / most).cast("int").alias("_salts")))
         if not found.isEmpty():
             hubs = found
@@ -86,44 +90,65 @@ def with_own_rows(edges: DataFrame, ids: DataFrame, value: str, hub_edges: int |
     return Links(rows.repartition(parts, *by).sortWithinPartitions(*by).persist(), hubs)
 
 
-def sum_round(state: DataFrame, links: Links, keys: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
-    """One round: active deltas move into the value and, times the factor, along the edges.
+def sum_round(state: DataFrame, links: Links, keys: tuple[str, ...] = (), least: float = 0.0, times: float = 1.0) -> DataFrame:
+    """One round: active deltas, ``times`` a number, move into the value and, times the factor, along the edges; what moved too much is pending with the other sign.
 
     Rows with \\|delta\\| not over ``least`` keep their delta pending; ``keys`` are further grouping columns.
     """
     active, own = F.abs("delta") > least, F.col("own")
     sent = links.met(state, active)
-    value = F.when(own, F.col("value") + F.when(active, F.col("delta")).otherwise(0.0)).otherwise(0.0)
-    delta = F.when(own, F.when(active, 0.0).otherwise(F.col("delta"))).otherwise(F.col("delta") * F.col("factor"))
+    moved, kept = (F.col("delta"), F.lit(0.0)) if times == 1 else (F.col("delta") * times, F.col("delta") * (1 - times))
+    value = F.when(own, F.col("value") + F.when(active, moved).otherwise(0.0)).otherwise(0.0)
+    delta = F.when(own, F.when(active, kept).otherwise(F.col("delta"))).otherwise(moved * F.col("factor"))
     return sent.select(*keys, F.col("dst").alias("id"), value.alias("value"), delta.alias("delta")).groupBy(*keys, "id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
 
 
-def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys: tuple[str, ...] = (), ids: DataFrame | None = None, cut_every: int = 5) -> DataFrame:
+def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys: tuple[str, ...] = (), ids: DataFrame | None = None, cut_every: int = 5, counted: DataFrame | None = None) -> DataFrame:
     """Rounds until ``how`` ends them; (keys, id, value, delta).
 
-    ``ids`` are the vertices that can hold a value; by default those of ``state`` and the targets.
-    With ``portion`` under 1 only deltas above that quantile are active in a round, and convergence
-    is the same. A run to a threshold is checked at each cut, and raises if it doesn't get there.
+    ``ids`` are the vertices that can hold a value; by default those of ``state`` and the targets;
+    ``counted`` is for ``with_own_rows``. With ``portion`` under 1 only deltas above that quantile, taken
+    anew for each round, are active, and convergence is the same. A run to a threshold is checked at each
+    cut, and raises if it doesn't get there.
+
+    Whatever moves, value and pending deltas together stand for the same fixpoint. So a run of all deltas to
+    a threshold may hasten: where they mostly have one sign and their sum shrinks by the ratio r in a
+    round, all later rounds would bring 1 / (1 - r) times as much of it, and one round moves that.
     """
     done, most, left = 0, how.rounds if how.rounds is not None else how.most, None
     # what may stay pending for ever must be far less than the threshold in all
     least = 0.0 if how.rounds is not None or keys else how.threshold / max(n, 1) * 1e-3
-    links = with_own_rows(factors, ids if ids is not None else state.select("id").unionByName(factors.select(F.col("dst").alias("id"))).distinct(), "factor")
+    links = with_own_rows(factors, ids if ids is not None else state.select("id").unionByName(factors.select(F.col("dst").alias("id"))).distinct(), "factor", counted=counted)
+    size, portioned, times, bar = F.abs("delta"), how.portion < 1, 1.0, least
+    total, quantile = F.sum(size).alias("all"), F.percentile_approx(F.when(size > least, size), 1 - how.portion).alias("bar")
+    hastens = how.rounds is None and not keys and not portioned
     try:
+        if portioned:
+            bar = _bar(state.agg(quantile).first()["bar"], least)
         while done < most:
-            bar = least
-            if how.portion < 1:
-                found = state.where(F.abs("delta") > least).select(F.percentile_approx(F.abs("delta"), 1 - how.portion)).first()[0]
-                bar = max(least, (found or 0.0) * (1 - 1e-9))
-            for _ in range(min(cut_every, most - done)):
-                state = sum_round(state, links, keys, bar)
-                done += 1
+            seen: list[Observation] = []
+            for k in range(1 if portioned else min(cut_every, most - done)):
+                state = sum_round(state, links, keys, bar, times)
+                done, times = done + 1, 1.0
+                if hastens and k >= cut_every - 2:
+                    seen.append(Observation())
+                    state = state.observe(seen[-1], F.sum("delta").alias("sum"), total)
+            if portioned:
+                seen.append(Observation())
+                state = state.observe(seen[-1], total, quantile)
             state = cut(state)
             if how.rounds is None:
-                pending = state.groupBy(*keys).agg(F.sum(F.abs("delta")).alias("d"))
-                left = pending.agg(F.max("d")).first()[0] or 0.0
+                if seen:
+                    left = seen[-1].get["all"] or 0.0
+                else:
+                    pending = state.groupBy(*keys).agg(total)
+                    left = pending.agg(F.max("all")).first()[0] or 0.0
                 if left < how.threshold:
                     return state
+            if portioned:
+                bar = _bar(seen[-1].get["bar"], least)
+            elif len(seen) == 2:
+                times = _hasty(*[x.get for x in seen])
         if how.rounds is None:
             raise NotConverged(f"{left} is pending after {done} rounds, over the threshold {how.threshold}")
         return state
@@ -131,10 +156,21 @@ def sum_fixpoint(state: DataFrame, factors: DataFrame, n: int, how: Rounds, keys
         links.unpersist()
 
 
+def _bar(found: float | None, least: float) -> float:
+    """Deltas over it are active: a hair under the quantile ``found``, so that equal ones are."""
+    return max(least, (found or 0.0) * (1 - 1e-9))
+
+
+def _hasty(before: dict, after: dict) -> float:
+    """How many times its deltas the next round moves, from the deltas' sum and absolute sum of two rounds; see ``sum_fixpoint``."""
+    ratio = (after["sum"] or 0.0) / before["sum"] if before["sum"] else 0.0
+    return 1 / (1 - ratio) if 0 < ratio < 0.95 and abs(after["sum"]) > 0.3 * after["all"] else 1.0
+
+
 def run_sum(g: Graph, kernel: SumKernel, how: Rounds) -> DataFrame:
     """From the kernel's initial deltas: (id, value, delta)."""
     n = g.vertices.count()
-    return sum_fixpoint(kernel.start(g, n), kernel.factors(g.edges), n, how, ids=g.vertices)
+    return sum_fixpoint(kernel.start(g, n), kernel.factors(g.edges), n, how, ids=g.vertices, counted=g.edges)
 
 
 def select_fixpoint(state: DataFrame, edges: DataFrame, kernel: SelectKernel, keys: tuple[str, ...] = (), ids: DataFrame | None = None, most: int = MAX_ROUNDS, cut_every: int = 3, sparse: bool | None = None, sent: list | None = None) -> DataFrame:

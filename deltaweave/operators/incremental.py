@@ -30,7 +30,7 @@ def retract_and_reissue(state: DataFrame, old: DataFrame, new: DataFrame, touche
 
     Sources without an effective update sent the same before and after, so only touched ones count.
     """
-    sender = sent(state.join(touched, "id", "left_semi").select(F.col("id").alias("src"), "value"))
+    sender = sent(cut(state.join(touched, "id", "left_semi").select(F.col("id").alias("src"), "value")))
     sign = old.select("src", "dst", (-F.col("factor")).alias("factor")).unionByName(new.select("src", "dst", "factor"))
     back = sign.join(sender, "src").select(F.col("dst").alias("id"), F.lit(0.0).alias("value"), (F.col("value") * F.col("factor")).alias("delta"))
     return state.select("id", "value", "delta").unionByName(back).groupBy("id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
@@ -41,9 +41,10 @@ def update_sum(g: Graph, state: DataFrame, updates: DataFrame, kernel: SumKernel
     after, eff = updated(g, updates)
     touched = sent(cut(eff.select(F.col("src").alias("id")).distinct()))
     n = g.vertices.count()
-    new = kernel.factors(after.edges)
-    moved = cut(retract_and_reissue(state, kernel.factors(g.edges), new, touched))
-    return after, sum_fixpoint(moved, new, n, how, ids=g.vertices)
+    of = touched.withColumnRenamed("id", "src")
+    old, new = (kernel.factors(edges.join(of, "src", "left_semi")) for edges in (g.edges, after.edges))
+    moved = cut(retract_and_reissue(state, old, new, touched))
+    return after, sum_fixpoint(moved, kernel.factors(after.edges), n, how, ids=g.vertices, counted=after.edges)
 
 
 def reset_set(state: DataFrame, removed: DataFrame, walked: int = WALKED_LEVELS) -> DataFrame:

@@ -15,7 +15,7 @@ from deltaweave.operators.summarize import SelectSkeleton, SumSkeleton, admit, f
 from deltaweave.operators.updates import apply_updates, validate
 from deltaweave.plans import algorithms
 from deltaweave.session import cut
-from deltaweave.sources.graph import Graph
+from deltaweave.sources.graph import Graph, kept
 from deltaweave.sources.text import read_clusters, read_graph, read_updates, write_result
 
 SELECT = {"bfs": BFS, "sssp": SSSP, "sswp": SSWP, "cc": CC, "wcc": CC}
@@ -63,7 +63,7 @@ def run(spark: SparkSession, application: str, efile: str, vfile: str | None = N
     if application not in (*SELECT, *SUM, *VECTOR):
         raise ValueError(f"unknown application {application!r}")
     g = read_graph(spark, efile, vfile, o.directed and application not in ("cc", "wcc"), o.weight_type)
-    g = Graph(cut(g.vertices), cut(g.edges), g.directed)
+    g = kept(g, ends=vfile is None)
     updates = validate(g, cut(read_updates(spark, efile_update, o.weight_type))) if efile_update else None
     if application in SELECT:
         state = _select(g, SELECT[application], updates, o)

@@ -8,6 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaweave.session import materialize
+
 EDGE = ("src", "dst", "weight")
 
 
@@ -63,6 +65,12 @@ class Graph:
         return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), directed)
 
 
+def kept(g: Graph, ends: bool = False) -> Graph:
+    """``g`` written to the scratch folder, since it is read many times; with ``ends`` its vertices are found from the written edges."""
+    e = materialize(g.edges, "edges")
+    return replace(g, vertices=materialize(endpoints(e) if ends else g.vertices, "vertices"), edges=e)
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaweave.functions import BFS, CC, SSSP, SSWP, pagerank_kernel, php_kernel
-from deltaweave.operators import accessors, datagen, gcn, incremental, summarize, updates
+from deltaweave.operators import accessors, datagen, fixpoint, gcn, incremental, summarize, updates
 from deltaweave.operators.fixpoint import Rounds, dense, run_select, run_sum
 from deltaweave.plans import algorithms
 from deltaweave.sources import Graph, dense_rank_in_order, lead_in_order
@@ -227,3 +227,19 @@ def test_data_sets(spark):
 def test_portion_reaches_the_same_fixpoint(toy):
     a, b = (values(run_sum(toy, pagerank_kernel(0.3), Rounds(threshold=1e-6, most=500, portion=p))) for p in (1.0, 0.5))
     assert a == pytest.approx(b, abs=1e-5)
+
+
+def _rounds(monkeypatch, run):
+    """The values of ``run`` and how many rounds it makes."""
+    made, plain = [], fixpoint.sum_round
+    monkeypatch.setattr(fixpoint, "sum_round", lambda *a, **b: made.append(1) or plain(*a, **b))
+    return values(run()), len(made)
+
+
+def test_hastened_runs_reach_the_same_fixpoint_in_fewer_rounds(spark, monkeypatch):
+    edges = [(a, (a * 7 + j * j + 3) % 60, 1 + j) for a in range(60) for j in range(6)]
+    g, how = graph(spark, edges), Rounds(threshold=1e-12, most=200)
+    kernel = php_kernel(0, 0.5)
+    found, n = _rounds(monkeypatch, lambda: run_sum(g, kernel, how))
+    assert n <= 30  # 40 halvings otherwise
+    assert found == pytest.approx(values(run_sum(g, kernel, Rounds(45))), abs=1e-12)
