@@ -243,3 +243,11 @@ def test_hastened_runs_reach_the_same_fixpoint_in_fewer_rounds(spark, monkeypatc
     found, n = _rounds(monkeypatch, lambda: run_sum(g, kernel, how))
     assert n <= 30  # 40 halvings otherwise
     assert found == pytest.approx(values(run_sum(g, kernel, Rounds(45))), abs=1e-12)
+
+
+def test_a_portion_is_taken_anew_in_each_round(spark, monkeypatch):
+    edges = [(a, (a * 7 + j * j + 3) % 60, 1) for a in range(60) for j in range(6)]
+    g, kernel = graph(spark, edges), pagerank_kernel(0.3)
+    found, n = _rounds(monkeypatch, lambda: run_sum(g, kernel, Rounds(threshold=1e-8, portion=0.5)))
+    assert n <= 40
+    assert found == pytest.approx(values(run_sum(g, kernel, Rounds(40))), abs=1e-8)
