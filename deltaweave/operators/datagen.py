@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaweave.session import cut
+from deltaweave.session import cut, materialize
 from deltaweave.sources.graph import endpoints
-from deltaweave.sources.tables import dense_rank_in_order
+from deltaweave.sources.tables import dealt, dense_rank_in_order
 
 # Fixed value: a prime modulus for choices in parts of ten thousand.
 MODULUS = 10007
@@ -106,9 +106,11 @@ def enlarge(edges: DataFrame, copies: int, source: int = 0, weight: int = 1) ->
 
 def relabel(edges: DataFrame) -> DataFrame:
     """Edges with dense ids from 0 in the order of the old ids, without self-loops."""
-    ids = dense_rank_in_order(endpoints(edges))
+    edges = materialize(edges.select("src", "dst", "weight"), "edges")
+    ids, n = materialize(dense_rank_in_order(endpoints(edges)), "ids"), edges.count()
     a, b = ids.select(F.col("id").alias("src"), F.col("new_id").alias("_a")), ids.select(F.col("id").alias("dst"), F.col("new_id").alias("_b"))
-    return edges.where("src <> dst").join(a, "src").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight")
+    half = dealt(edges.where("src <> dst"), n, "src").join(a, "src").select("_a", "dst", "weight")
+    return dealt(half, n, "dst").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight")
 
 
 def close_sinks(edges: DataFrame) -> DataFrame:

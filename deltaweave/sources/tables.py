@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .graph import Graph
 
 WIDTH = 1 << 16
+#: Rows of a task where many rows are sorted or told apart at once, so that its memory doesn't grow with the table.
+TASK_ROWS = 1_000_000
+
+
+def dealt(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """``rows``, counted to be ``n``, dealt by the columns ``by`` into parts of about TASK_ROWS, but no fewer than the session's."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), *by)
 
 
 def lead_in_order(rows: DataFrame, key: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
@@ -50,7 +57,8 @@ def customer_chain(spark: SparkSession, sf_dir: str) -> Graph:
 def supplier_part(spark: SparkSession, sf_dir: str) -> Graph:
     """Bipartite graph of suppliers (even ids) and parts (odd ids)."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return Graph.of(items.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct(), directed=False)
+    pairs = items.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return Graph.of(dealt(pairs, items.count(), "src", "dst").distinct(), directed=False)
 
 
 def customer_updates(g: Graph, n_vertices: Column | int) -> DataFrame:

@@ -1,10 +1,14 @@
 """Text formats, streams and saved graphs."""
 
+import re
+
 import pytest
 
 from deltaweave.functions import SSSP
+from deltaweave.operators import datagen
 from deltaweave.operators.fixpoint import dense
 from deltaweave.sources import Graph, read_adjacency, read_clusters, read_edges, read_graph, read_matrix_market, read_temporal_log, read_updates, write_clusters, write_edges, write_result, write_updates
+from deltaweave.sources import tables
 from deltaweave.streaming import MaintainedResult, update_stream
 
 
@@ -73,3 +77,11 @@ def test_stream(spark, tmp_path):
     assert {r["id"]: r["value"] for r in dense(kept.graph, kept.state, SSSP).collect()} == {0: 0, 1: None, 2: 4, 3: 1}
     kept.apply(spark.createDataFrame([("d", 0, 3, None)], "op string, src long, dst long, weight long"), kept.last)
     assert {r["id"]: r["value"] for r in kept.state.collect()}[3] == 1
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    edges = spark.range(1000).selectExpr("id * 3 as src", "id * 3 + 3 as dst", "id as weight")
+    found = datagen.relabel(edges)
+    assert sorted(found.collect()) == [(k, k + 1, k) for k in range(1000)]
+    assert "hashpartitioning(dst, 10)" in re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
