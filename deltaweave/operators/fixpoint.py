@@ -246,6 +246,13 @@ def _whole_rounds(state: DataFrame, links: Links, kernel: SelectKernel, keys: tu
     return state
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` cut, and its number of rows from the same job."""
+    seen = Observation()
+    df = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, seen.get["n"]
+
+
 def _sparse_rounds(state: DataFrame, front: DataFrame, edges: DataFrame, kernel: SelectKernel, keys: tuple[str, ...], most: int, sent: list | None) -> tuple[DataFrame, int, bool]:
     """(state, rounds made, whether nothing is left) from rounds that look at the frontier alone."""
     settled, done = state.withColumn("round", F.lit(-1)), 0
@@ -254,14 +261,12 @@ def _sparse_rounds(state: DataFrame, front: DataFrame, edges: DataFrame, kernel:
         count = Observation()
         met = met.observe(count, F.count(F.lit(1)).alias("n"))
         offers = met.select(*keys, F.col("dst").alias("id"), kernel.extend(F.col("value"), F.col("weight")).alias("value"), F.lit(0).alias("round"), F.col("src").alias("parent"))
-        offers = cut(reduced(offers, kernel, keys))
+        offers, n = _counted(reduced(offers, kernel, keys))
         done += 1
         if sent is not None:
             sent.append(count.get["n"])
-        n = offers.count()
         old = settled.join(F.broadcast(offers.select(*keys, "id")), [*keys, "id"], "left_semi") if n <= SPARSE_ROWS else settled
-        better = cut(reduced(old.unionByName(offers), kernel, keys).where("round = 0"))
-        n = better.count()
+        better, n = _counted(reduced(old.unionByName(offers), kernel, keys).where("round = 0"))
         if n == 0:
             return reduced(settled, kernel, keys), done, True
         settled = settled.unionByName(better.withColumn("round", F.lit(-1)))

@@ -17,16 +17,21 @@ from deltaweave.functions.kernels import BFS, SSSP, SelectKernel, SumKernel
 from deltaweave.operators.accessors import labelled
 from deltaweave.operators.components import components
 from deltaweave.operators.fixpoint import Rounds, select_fixpoint, sum_fixpoint
-from deltaweave.operators.incremental import update_select
-from deltaweave.operators.updates import updated
-from deltaweave.session import cut
-from deltaweave.sources.graph import Graph
+from deltaweave.operators.incremental import sent, update_select
+from deltaweave.operators.updates import PAIR, updated
+from deltaweave.session import cut, materialize
+from deltaweave.sources.graph import EDGE, Graph
 
 
 def _labels(clusters: DataFrame) -> DataFrame:
     return clusters.withColumnRenamed("cluster", "label")
 
 
+def _named(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``edges`` with their ends' clusters, ``src_label`` and ``dst_label``; what has them already stays as it is."""
+    return edges if "src_label" in edges.columns else labelled(edges, _labels(clusters))
+
+
 def label_propagation(g: Graph, rounds: int = 5, max_size: int = 150) -> DataFrame:
     """A clusterer of our own: (id, cluster).
 
@@ -34,11 +39,14 @@ def label_propagation(g: Graph, rounds: int = 5, max_size: int = 150) -> DataFra
     than ``max_size`` members is split by ranges of ids; every vertex keeps a cluster.
     """
     both = g.edges.select("src", "dst").unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "src").sortWithinPartitions("src").persist()  # read in every round
     state = g.vertices.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
-        votes = both.join(state.withColumnRenamed("id", "src"), "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
+        votes = state.withColumnRenamed("id", "src").hint("merge").join(both, "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
         state = cut(state.join(best, "id", "left").select("id", F.coalesce("b.label", "label").alias("label")))
+    both.unpersist()
     sizes = state.groupBy("label").agg(F.count("*").alias("n"))
     parts = state.join(sizes, "label").withColumn("part", F.when(F.col("n") > max_size, F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / max_size))).otherwise(F.lit(0)))
     return parts.select("id", F.min("id").over(Window.partitionBy("label", "part")).alias("cluster"))
@@ -46,7 +54,7 @@ def label_propagation(g: Graph, rounds: int = 5, max_size: int = 150) -> DataFra
 
 def entry_exit(g: Graph, clusters: DataFrame) -> DataFrame:
     """(id, cluster, is_entry, is_exit) of clustered vertices."""
-    over = labelled(g.edges, _labels(clusters)).where("not src_label <=> dst_label")
+    over = _named(g.edges, clusters).where("not src_label <=> dst_label")
     ends = over.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
     flags = ends.groupBy("e.id").agg(F.max("e.i").alias("i"), F.max("e.o").alias("o"))
     return clusters.join(flags, "id", "left").select("id", "cluster", (F.coalesce("i", F.lit(0)) == 1).alias("is_entry"), (F.coalesce("o", F.lit(0)) == 1).alias("is_exit"))
@@ -54,7 +62,7 @@ def entry_exit(g: Graph, clusters: DataFrame) -> DataFrame:
 
 def cluster_benefit(g: Graph, clusters: DataFrame) -> DataFrame:
     """(cluster, n_members, n_inner, n_entry, n_exit, benefit): edges saved if shortcuts replace inner edges."""
-    inner = labelled(g.edges, _labels(clusters)).where("src_label = dst_label").groupBy(F.col("src_label").alias("cluster")).agg(F.count("*").alias("n_inner"))
+    inner = _named(g.edges, clusters).where("src_label = dst_label").groupBy(F.col("src_label").alias("cluster")).agg(F.count("*").alias("n_inner"))
     ends = entry_exit(g, clusters).groupBy("cluster").agg(F.count("*").alias("n_members"), F.sum(F.col("is_entry").cast("long")).alias("n_entry"), F.sum(F.col("is_exit").cast("long")).alias("n_exit"))
     n = F.coalesce("n_inner", F.lit(0).cast("long"))
     return ends.join(inner, "cluster", "left").select("cluster", "n_members", n.alias("n_inner"), "n_entry", "n_exit", (n - F.col("n_entry") * F.col("n_exit")).alias("benefit"))
@@ -111,14 +119,23 @@ def node_types(g: Graph, clusters: DataFrame, mirrors: DataFrame | None = None)
 
 def _split(edges: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges inside clusters, with ``cluster``, and the others."""
-    e = labelled(edges, _labels(clusters))
-    rest = [c for c in edges.columns]
+    e = _named(edges, clusters)
+    rest = [c for c in edges.columns if c not in ("src_label", "dst_label")]
     return e.where("src_label = dst_label").select(*rest, F.col("src_label").alias("cluster")), e.where("not coalesce(src_label = dst_label, false)").select(*rest)
 
 
 def _entries(g: Graph, clusters: DataFrame, source: int | None = None) -> DataFrame:
-    is_entry = F.col("is_entry") if source is None else F.col("is_entry") | (F.col("id") == source)
-    return entry_exit(g, clusters).where(is_entry).select("cluster", F.col("id").alias("entry"))
+    """(cluster, entry); the source, if it has a cluster, counts as one."""
+    over = _named(g.edges, clusters).where("dst_label is not null and not src_label <=> dst_label")
+    found = over.select(F.col("dst_label").alias("cluster"), F.col("dst").alias("entry"))
+    if source is not None:
+        found = found.unionByName(clusters.where(F.col("id") == source).select("cluster", F.col("id").alias("entry")))
+    return found.distinct()
+
+
+def _exits(g: Graph, clusters: DataFrame) -> DataFrame:
+    """(target)."""
+    return _named(g.edges, clusters).where("src_label is not null and not src_label <=> dst_label").select(F.col("src").alias("target")).distinct()
 
 
 def sum_shortcuts(g: Graph, clusters: DataFrame, kernel: SumKernel, how: Rounds, only: DataFrame | None = None) -> DataFrame:
@@ -137,7 +154,8 @@ def select_shortcuts(g: Graph, clusters: DataFrame, kernel: SelectKernel, source
     """(cluster, entry, target, dist, parent) by paths inside the cluster."""
     inside, _ = _split(g.edges, clusters)
     start = _entries(g, clusters, source).select("cluster", "entry", F.col("entry").alias("id"), F.lit(kernel.origin).cast("long").alias("value"), F.lit(None).cast("long").alias("parent"))
-    start = start if only is None else start.join(only, "cluster", "left_semi")
+    if only is not None:
+        start, inside = (x.join(sent(only), "cluster", "left_semi") for x in (start, inside))
     done = select_fixpoint(start, inside.select("src", "dst", "weight"), kernel, ("cluster", "entry"))
     return done.select("cluster", "entry", F.col("id").alias("target"), F.col("value").alias("dist"), "parent")
 
@@ -161,8 +179,7 @@ def refresh_shortcuts(old: DataFrame, g: Graph, clusters: DataFrame, changes: Da
 def skeleton_edges(g: Graph, clusters: DataFrame, kernel: SelectKernel, source: int | None = None, shortcuts: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight, kind): shortcuts from entries to exits and the edges outside clusters."""
     cuts = shortcuts if shortcuts is not None else select_shortcuts(g, clusters, kernel, source)
-    exits = entry_exit(g, clusters).where("is_exit").select(F.col("id").alias("target"))
-    jumps = cuts.where("entry <> target").join(exits, "target", "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("dst"), F.col("dist").alias("weight"), F.lit("shortcut").alias("kind"))
+    jumps = cuts.where("entry <> target").join(_exits(g, clusters), "target", "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("dst"), F.col("dist").alias("weight"), F.lit("shortcut").alias("kind"))
     _, outside = _split(g.edges, clusters)
     return jumps.unionByName(outside.select("src", "dst", "weight", F.lit("edge").alias("kind")))
 
@@ -205,18 +222,22 @@ def chosen_mirrors(g: Graph, clusters: DataFrame, k: int, every: bool = False) -
 
 
 def with_mirrors(edges: DataFrame, clusters: DataFrame, mirrors: DataFrame, value: str, unit) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, dst, value) and clusters in which mirrors take part.
+    """Edges (src, dst, value, src_label, dst_label) and clusters in which mirrors take part.
 
     The edges of a vertex into a cluster where it has an in-mirror start at that mirror, inside the
     cluster, and one edge of value ``unit`` leads from the vertex to it; out-mirrors likewise at the end.
     """
-    into = mirrors.where("side = 'in'").select(F.col("id").alias("src"), F.col("cluster").alias("dst_label"), F.col("mirror").alias("_in"))
-    out = mirrors.where("side = 'out'").select(F.col("id").alias("dst"), F.col("cluster").alias("src_label"), F.col("mirror").alias("_out"))
-    e = labelled(edges, _labels(clusters)).join(into, ["src", "dst_label"], "left").join(out, ["dst", "src_label"], "left")
-    moved = e.select(F.coalesce("_in", "src").alias("src"), F.when(F.col("_in").isNull(), F.coalesce("_out", "dst")).otherwise(F.col("dst")).alias("dst"), value)
+    n = mirrors.count()
+    into = sent(mirrors.where("side = 'in'").select(F.col("id").alias("src"), F.col("cluster").alias("dst_label"), F.col("mirror").alias("_in")), n)
+    out = sent(mirrors.where("side = 'out'").select(F.col("id").alias("dst"), F.col("cluster").alias("src_label"), F.col("mirror").alias("_out")), n)
+    e = _named(edges, clusters).join(into, ["src", "dst_label"], "left").join(out, ["dst", "src_label"], "left")
+    inwards, outwards = F.col("_in").isNotNull(), F.col("_in").isNull() & F.col("_out").isNotNull()
+    a, b = F.when(inwards, F.col("dst_label")).otherwise(F.col("src_label")), F.when(outwards, F.col("src_label")).otherwise(F.col("dst_label"))
+    moved = e.select(F.coalesce("_in", "src").alias("src"), F.when(outwards, F.col("_out")).otherwise(F.col("dst")).alias("dst"), value, a.alias("src_label"), b.alias("dst_label"))
+    more = clusters.select("id", "cluster").unionByName(mirrors.select(F.col("mirror").alias("id"), "cluster"))
     sides = F.when(F.col("side") == "in", F.struct(F.col("id").alias("src"), F.col("mirror").alias("dst"))).otherwise(F.struct(F.col("mirror").alias("src"), F.col("id").alias("dst")))
     sync = mirrors.select(sides.alias("s")).select("s.src", "s.dst", F.lit(unit).cast(dict(edges.dtypes)[value]).alias(value))
-    return moved.unionByName(sync), clusters.select("id", "cluster").unionByName(mirrors.select(F.col("mirror").alias("id"), "cluster"))
+    return moved.unionByName(labelled(sync, _labels(more))), more
 
 
 def _mirrored(g: Graph, clusters: DataFrame, kernel: SelectKernel, k: int, every: bool) -> tuple[Graph, DataFrame]:
@@ -241,31 +262,43 @@ class SelectSkeleton:
             raise ValueError("kernels that start everywhere have no single source; see skeleton_components")
         self.unit = kernel is BFS  # hops are paths of unit weights; a shortcut counts for several
         self.kernel, self.source, self.clusters = SSSP if self.unit else kernel, source, clusters
-        self.graph = self._weighted(g)
-        self.cuts = cut(shortcuts if shortcuts is not None else self._build(self.graph, clusters, None))
-        self.edges = cut(self._skeleton())
+        edges = self._weighted(_named(g.edges, clusters)).select(*EDGE, "src_label", "dst_label")
+        self.graph = replace(g, edges=materialize(edges, "edges"))  # with labels, so that they are joined once
+        self.cuts = materialize(shortcuts if shortcuts is not None else self._build(self.graph, clusters, None), "shortcuts")
+        self.edges = materialize(self._best(self._skeleton()), "skeleton")
         self.outer = select_fixpoint(self.kernel.start(self.graph, source), self.edges, self.kernel, ids=g.vertices)
 
-    def _weighted(self, g: Graph) -> Graph:
-        return replace(g, edges=g.edges.withColumn("weight", F.lit(1).cast("long"))) if self.unit else g
+    def _weighted(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("weight", F.lit(1).cast("long")) if self.unit else rows
 
     def _build(self, g: Graph, clusters: DataFrame, only: DataFrame | None) -> DataFrame:
         return select_shortcuts(g, clusters, self.kernel, self.source, only)
 
     def _skeleton(self) -> DataFrame:
-        best = F.min("weight") if self.kernel.least else F.max("weight")
-        found = skeleton_edges(self.graph, self.clusters, self.kernel, self.source, self.cuts)
-        return found.groupBy("src", "dst").agg(best.alias("weight"))
+        return skeleton_edges(self.graph, self.clusters, self.kernel, self.source, self.cuts)
+
+    def _best(self, edges: DataFrame) -> DataFrame:
+        return edges.groupBy("src", "dst").agg((F.min("weight") if self.kernel.least else F.max("weight")).alias("weight"))
 
     def update(self, updates: DataFrame) -> None:
-        after, changes = updated(self.graph, updates.withColumn("weight", F.lit(1).cast("long")) if self.unit else updates)
-        self.graph = Graph(after.vertices, cut(after.edges), after.directed)
-        self.cuts = cut(refresh_shortcuts(self.cuts, self.graph, self.clusters, changes, self._build))
-        old, self.edges = self.edges, cut(self._skeleton())
-        was = old.withColumnRenamed("weight", "_was")
-        moved = self.edges.join(was, ["src", "dst"], "full_outer").where("not weight <=> _was")
-        batch = moved.select(F.when(F.col("weight").isNull(), "d").otherwise("a").alias("op"), "src", "dst", "weight")
-        _, self.outer = update_select(Graph(self.graph.vertices, old), self.outer, batch, self.kernel, self.source)
+        """Only pairs of the batch and of the touched clusters' shortcuts can change on the skeleton."""
+        g = self.graph
+        _, changes = updated(replace(g, edges=g.edges.select(*EDGE)), self._weighted(updates))
+        gone = sent(cut(changes.where("op = 'd'").select(*PAIR).distinct()))
+        added = labelled(changes.where("op = 'a'").select(*EDGE), _labels(self.clusters))
+        self.graph = replace(g, edges=materialize(g.edges.join(gone, PAIR, "left_anti").unionByName(added), "edges"))
+        touched = cut(touched_clusters(self.clusters, changes))
+        before, pairs = self.cuts, changes.select(*PAIR)
+        self.cuts = materialize(before.join(touched, "cluster", "left_anti").unionByName(self._build(self.graph, self.clusters, touched)), "shortcuts")
+        for cuts in (before, self.cuts):
+            pairs = pairs.unionByName(cuts.where("entry <> target").join(touched, "cluster", "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("dst")))
+        pairs = sent(cut(pairs.distinct()))
+        was = self.edges.join(pairs, PAIR, "left_semi").withColumnRenamed("weight", "_was")
+        now = cut(self._best(self._skeleton().join(pairs, PAIR, "left_semi")))
+        old, self.edges = self.edges, materialize(self.edges.join(pairs, PAIR, "left_anti").unionByName(now), "skeleton")
+        moved = now.join(was, PAIR, "full_outer").where("not weight <=> _was")
+        batch = moved.select(F.when(F.col("weight").isNull(), "d").otherwise("a").alias("op"), *EDGE)
+        _, self.outer = update_select(Graph(g.vertices, old), self.outer, batch, self.kernel, self.source)
 
     def values(self) -> DataFrame:
         """(id, value) of reached vertices: the skeleton's, and the interiors' from it."""
@@ -316,18 +349,18 @@ class SumSkeleton:
         self._load(g)
         self.first = cut(self._first(None))
         self.cuts = cut(self._shortcuts(None))
-        self.hops, self.sent = cut(self._hops()), cut(self._sent())
+        self.hops, self.sent = materialize(self._hops(), "hops"), cut(self._sent())
         self.totals = sum_fixpoint(self.sent.select("id", F.lit(0.0).alias("value"), "delta"), self.hops, self.n, how)
 
     def _load(self, g: Graph) -> None:
-        factors = self.kernel.factors(g.edges)
+        factors = self.kernel.factors(g.edges).select("src", "dst", "factor")
         self.vertices, self.clusters = g.vertices, self.given
         if self.mirrors is not None:
             factors, self.clusters = with_mirrors(factors, self.given, self.mirrors, "factor", 1.0)
             self.vertices = g.vertices.select("id").unionByName(self.mirrors.select(F.col("mirror").alias("id")))
-        factors = cut(factors.select("src", "dst", "factor"))
+        factors = materialize(_named(factors, self.clusters), "factors")
         inside, outside = _split(factors, self.clusters)
-        self.inside, self.outside = cut(inside.select("src", "dst", "factor")), cut(outside.select("src", "dst", "factor"))
+        self.inside, self.outside = inside.select("src", "dst", "factor"), outside.select("src", "dst", "factor")
         self.all = Graph(self.vertices, factors.withColumnRenamed("factor", "weight"))
 
     def _first(self, only: DataFrame | None) -> DataFrame:
@@ -347,8 +380,7 @@ class SumSkeleton:
         return self.cuts.unionByName(own)
 
     def _hops(self) -> DataFrame:
-        out = self.outside.select("src").distinct()
-        jumps = self._all_cuts().join(out, F.col("target") == F.col("src"), "left_semi").select(F.col("entry").alias("src"), F.col("target").alias("mid"), F.col("factor").alias("f1"))
+        jumps = self._all_cuts().select(F.col("entry").alias("src"), F.col("target").alias("mid"), F.col("factor").alias("f1"))
         return jumps.join(self.outside.select(F.col("src").alias("mid"), "dst", "factor"), "mid").groupBy("src", "dst").agg(F.sum(F.col("f1") * F.col("factor")).alias("factor"))
 
     def _sent(self) -> DataFrame:
@@ -361,13 +393,13 @@ class SumSkeleton:
             far = self.mirrors.where("side = 'in'").join(changes.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("cluster")
             touched = touched.unionByName(far).distinct()
         touched = cut(touched)
-        self.graph = Graph(after.vertices, cut(after.edges), after.directed)
+        self.graph = replace(after, edges=materialize(after.edges, "edges"))
         self._load(self.graph)
         redone = self.clusters.join(touched, "cluster", "left_semi").select("id")
         self.first = cut(self.first.join(redone, "id", "left_anti").unionByName(self._first(touched)))
         self.cuts = cut(self.cuts.join(touched, "cluster", "left_anti").unionByName(self._shortcuts(touched)))
         old_hops, old_sent = self.hops, self.sent
-        self.hops, self.sent = cut(self._hops()), cut(self._sent())
+        self.hops, self.sent = materialize(self._hops(), "hops"), cut(self._sent())
         sender = self.totals.select(F.col("id").alias("src"), "value")
         moved = self.hops.unionByName(old_hops.withColumn("factor", -F.col("factor"))).groupBy("src", "dst").agg(F.sum("factor").alias("factor")).where("factor <> 0")
         again = moved.join(sender, "src").select(F.col("dst").alias("id"), (F.col("value") * F.col("factor")).alias("delta"))
@@ -398,7 +430,7 @@ def finish_sum(g: Graph, values: DataFrame, kernel: SumKernel, how: Rounds) -> D
     sent = values.join(factors, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.lit(0.0).alias("value"), (F.col("value") * F.col("factor")).alias("delta"))
     own = values.select("id", "value", (-F.col("value")).alias("delta"))
     state = kernel.start(g, n).unionByName(own).unionByName(sent).groupBy("id").agg(F.sum("value").alias("value"), F.sum("delta").alias("delta"))
-    return sum_fixpoint(cut(state), factors, n, how, ids=g.vertices)
+    return sum_fixpoint(cut(state), factors, n, how, ids=g.vertices, counted=g.edges)
 
 
 def compression_stats(g: Graph, clusters: DataFrame, bin_width: int = 500) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.functions import BFS, CC, SSSP, SSWP, SelectKernel, pagerank_kernel, personalised_pagerank_kernel, php_kernel
 from deltaweave.operators import gcn
+from deltaweave.operators.accessors import labelled
 from deltaweave.operators.fixpoint import Rounds, dense, run_select, run_sum
 from deltaweave.operators.incremental import update_select, update_sum
 from deltaweave.operators.summarize import SelectSkeleton, SumSkeleton, admit, finish_sum, label_propagation, skeleton_components
 from deltaweave.operators.updates import apply_updates, validate
 from deltaweave.plans import algorithms
-from deltaweave.session import cut
+from deltaweave.session import cut, materialize
 from deltaweave.sources.graph import Graph, kept
 from deltaweave.sources.text import read_clusters, read_graph, read_updates, write_result
 
@@ -83,7 +84,9 @@ def _kernel(application: str, o: Options):
 
 def _clusters(g: Graph, o: Options) -> DataFrame:
     found = read_clusters(g.vertices.sparkSession, o.cluster_file, o.min_node_num) if o.cluster_file else label_propagation(g, max_size=o.max_node_num)
-    return cut(admit(g, found, o.compress_threshold, o.min_node_num))
+    found = materialize(found.select("id", "cluster"), "clusters")
+    named = replace(g, edges=materialize(labelled(g.edges, found.withColumnRenamed("cluster", "label")), "edges"))
+    return cut(admit(named, found, o.compress_threshold, o.min_node_num))
 
 
 def _select(g: Graph, kernel: SelectKernel, updates: DataFrame | None, o: Options) -> DataFrame:
