@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from deltaweave import catalog
 from deltaweave.functions import BFS, CC, SSSP, SSWP, pagerank_kernel, php_kernel
 from deltaweave.operators import accessors, datagen, fixpoint, gcn, incremental, summarize, updates
 from deltaweave.operators.fixpoint import Rounds, dense, run_select, run_sum
@@ -251,3 +252,17 @@ def test_a_portion_is_taken_anew_in_each_round(spark, monkeypatch):
     found, n = _rounds(monkeypatch, lambda: run_sum(g, kernel, Rounds(threshold=1e-8, portion=0.5)))
     assert n <= 40
     assert found == pytest.approx(values(run_sum(g, kernel, Rounds(40))), abs=1e-8)
+
+
+def test_derived_graphs_are_written_once(spark, sf_dir):
+    g = catalog._chain(spark, sf_dir)
+    assert all("/deltaweave/" in f for df in (g.edges, g.vertices) for f in df.inputFiles()) and g.vertices.inputFiles()
+
+
+def test_a_skeleton_joins_labels_once(spark, monkeypatch):
+    n, edges, _ = _random(5)
+    g, joined, plain = graph(spark, edges, n=n), [], summarize.labelled
+    monkeypatch.setattr(summarize, "labelled", lambda *a: joined.append(1) or plain(*a))
+    clusters = g.vertices.select("id", F.expr("id div 8").alias("cluster"))
+    assert values(dense(g, summarize.SelectSkeleton(g, clusters, SSSP, 0).values(), SSSP)) == _dijkstra(n, edges, 0)
+    assert len(joined) == 1
